@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from strataforge.llm import op4_pii, op5_quality, op6_mix, op8_urls, op10_pack
+from strataforge.llm import op1_html, op2_simhash, op4_pii, op5_quality, op6_mix, op7_warc, op8_urls, op10_pack
 
 QUERIES = {
+    "op1_html": op1_html.op1_html,
+    "op2_simhash": op2_simhash.op2_simhash,
     "op4_pii": op4_pii.op4_pii,
     "op5_quality_rules": op5_quality.op5_quality_rules,
     "op6_mix": op6_mix.op6_mix,
+    "op7_warc": op7_warc.op7_warc,
     "op8_url_filter": op8_urls.op8_url_filter,
     "op10_pack": op10_pack.op10_pack,
 }
