@@ -188,7 +188,7 @@ def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     pieces = scratch.keep(pieces, "pieces")
     n = pieces.count()
-    buckets = max(1, -(-n // 20_000))
+    buckets = max(64, -(-n // 20_000))
     keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     cells = scratch.keep(keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")), "cells")
     counts = np.zeros(length + 1, dtype=np.int64)

@@ -126,7 +126,7 @@ def choose_parts(n: int, tau: int = TAU, bits: int = 64) -> int:
             total += ball(w, t) * (PROBE_COST + CANDIDATE_COST * n / 2.0**w) + PROBE_COST
         return total
 
-    return min(range(1, tau + 2), key=cost)
+    return min(range(1, min(tau + 1, 8) + 1), key=cost)
 
 
 def group_bits(n: int, co: np.ndarray, m: int) -> list[list[int]]:
@@ -303,7 +303,53 @@ def _probe_rows(alloc: Allocator, hot: dict[int, int]):
     return run
 
 
-def links_of_groups(group: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_forest(f: np.ndarray, tau: int, nearest_first: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (positions) that connect the different fingerprints f as all links within tau bits do.
+
+    Breadth-first search against the rows not yet reached. nearest_first goes up from the
+    smallest distance and keeps only links between parts not joined before, so links are as
+    short as they can be: a minimum spanning forest.
+    """
+    if not nearest_first:
+        rest = np.arange(len(f))
+        while len(rest) > 1:
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                x = todo.pop()
+                near = np.bitwise_count(f[rest] ^ f[x]) <= tau
+                if near.any():
+                    found = rest[near]
+                    yield np.full(len(found), x), found
+                    todo.extend(found)
+                    rest = rest[~near]
+        return
+    part = np.arange(len(f))
+    for t in range(1, tau + 1):
+        left = np.ones(len(f), dtype=bool)
+        for root in range(len(f)):
+            if not left[root]:
+                continue
+            todo = [root]
+            left[root] = False
+            while todo:
+                x = todo.pop()
+                open_ = np.flatnonzero(left)
+                found = open_[(part[open_] == part[x]) | (np.bitwise_count(f[open_] ^ f[x]) <= t)]
+                left[found] = False
+                todo.extend(found.tolist())
+                joined, first = np.unique(part[found], return_index=True)
+                new = joined != part[x]
+                if new.any():
+                    far = found[first[new]]
+                    d = np.bitwise_count(f[far] ^ f[x]) <= t
+                    yield np.full(int(d.sum()), x), far[d]
+                    for p in joined[new]:
+                        part[part == p] = part[x]
+        if (part == part[0]).all():
+            return
+
+
+def links_of_groups(group: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, nearest_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (pairs of reps) within groups of sorted group numbers; of large groups a spanning forest."""
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, len(group)))
@@ -322,24 +368,14 @@ def links_of_groups(group: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int
             b.append(rep[y[near]])
     for s, n in zip(starts[sizes > GROUP_SMALL], sizes[sizes > GROUP_SMALL]):
         f, at = np.unique(fp[s : s + n], return_index=True)
-        reps = rep[s : s + n][at]
-        while len(f) > 1:
-            todo = [(f[0], reps[0])]
-            f, reps = f[1:], reps[1:]
-            while todo and len(f):
-                x, own = todo.pop()
-                near = np.bitwise_count(f ^ x) <= tau
-                if near.any():
-                    found = reps[near]
-                    a.append(np.full(len(found), own))
-                    b.append(found)
-                    todo.extend(zip(f[near], found))
-                    f, reps = f[~near], reps[~near]
+        for i, j in spanning_forest(f, tau, nearest_first):
+            a.append(rep[s : s + n][at][i])
+            b.append(rep[s : s + n][at][j])
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _verify(tau: int):
+def _verify(tau: int, nearest_first: bool = False):
     """Rows sorted by (key, salt) -> links. A group may run over several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,14 +398,14 @@ def _verify(tau: int):
     def emit(rows):
         key, salt, rep, fp = rows
         change = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        a, b = links_of_groups(np.cumsum(change), rep, fp.view(np.uint64), tau)
+        a, b = links_of_groups(np.cumsum(change), rep, fp.view(np.uint64), tau, nearest_first)
         for i in range(0, len(a), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], names=["u", "v"])
 
     return run
 
 
-def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096) -> DataFrame:
+def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, nearest_first: bool = False) -> DataFrame:
     """distinct(rep long, fp long, one row per fp) -> links (u, v) that connect what lies within tau bits."""
     n, co = bit_statistics(distinct)
     if not n:
@@ -388,15 +424,55 @@ def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096) ->
     counts = distinct.select("fp").mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
     hot = {r["key"]: -(-r["count"] // limit) for r in counts.collect()}
     rows = distinct.select("rep", "fp").mapInArrow(_probe_rows(alloc, hot), "key long, salt int, rep long, fp long")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_verify(tau), "u long, v long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_verify(tau, nearest_first), "u long, v long")
+
+
+def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of the different shingles; texts of fewer words have one, texts without words none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def similar_links(links: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """Links whose texts' shingle sets have a Jaccard similarity of at least `least`."""
+    links = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(nodes, texts["id"] == nodes["node"], "left_semi")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "s"])
+
+    packed = texts.mapInArrow(arrow_rows(sets), "id long, s binary").groupBy("id").agg(F.min("s").alias("s"))
+    one, two = packed.toDF("u", "su"), packed.toDF("v", "sv")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            p, q = (np.frombuffer(b.as_py(), dtype=np.uint64) for b in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            ok.append(both >= least * (len(p) + len(q) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
+
+    return links.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(arrow_rows(compare), "u long, v long")
+
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints: id, fp; groups: fp, rep, component) as tables of the shared folder.
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints: id, fp; groups: fp, rep, component) as tables of the shared folder."""
+    With min_similarity the links within tau bits are candidates, and those between texts of
+    a lower Jaccard similarity of `width`-word shingles are dropped.
+    """
     scratch = Scratch(df.sparkSession)
     fps = scratch.keep(fingerprints(df, id_col, text_col, width), "fps")
     distinct = scratch.keep(fps.groupBy("fp").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).cast("long").alias("rep")), "distinct")
-    found = connected_components(hamming_links(distinct, tau), scratch)
+    links = hamming_links(distinct, tau, nearest_first=min_similarity is not None)
+    if min_similarity is not None:
+        links = similar_links(scratch.keep(links, "candidates"), df, id_col, text_col, width, min_similarity)
+    found = connected_components(links, scratch)
     groups = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     return fps, scratch.keep(groups, "groups")
 
