@@ -223,6 +223,12 @@ def labelled_pages(seed: int = 11, size: int = 90) -> list[str]:
                 p += f' <a href="/x">{gold(word())}</a> ' + gold(prose(2, 9))
             if rnd.random() < 0.2:
                 p = f"<b>{p}</b><br>"
+            if rnd.random() < 0.2:
+                body.append(f"<h{k % 4 + 2}>{gold(prose(1, 5))}</h{k % 4 + 2}>")
+            if rnd.random() < 0.15:
+                body.append(f"<ul><li>{gold(prose(2, 9))}</li><li>{gold(prose(2, 9))}</li></ul>")
+            if rnd.random() < 0.1:
+                body.append(f"<table><tr><td>{gold(prose(1, 4))}</td><td>{gold(prose(1, 4))}</td></tr></table>")
             body.append(f"<p>{p}" + "</p>" * (rnd.random() < 0.8))
             if rnd.random() < 0.15:
                 body.append(rnd.choice(boxes))
@@ -263,7 +269,7 @@ def train(pages: list[str], epochs: int = 300, rate: float = 0.5, l2: float = 1e
     for _ in range(epochs):
         gap = (1 / (1 + np.exp(-(x @ w))) - y) * n
         w -= rate * (x.T @ gap / n.sum() * 4 + l2 * w)
-    tags = {t: float(np.clip(np.log(a / b), -3.0, -0.05)) for t, (a, b) in inside.items()}
+    tags = {t: float(np.clip(np.log(a / b), -0.5, -0.05)) for t, (a, b) in inside.items()}
     return Extractor(w, tags, -0.2)
 
 
