@@ -138,7 +138,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     at = {c: f"_c{i}" for i, c in enumerate(names)}
     plain = df.withColumn("_ow", ow.cast("double")).toDF(*at.values(), "_ow")
     j = plain.join(plan, plain[at[source_col]].cast("string").eqNullSafe(plan["p_source"]))
-    copies = F.when(F.length(F.coalesce(F.col(at[text_col]), F.lit(""))) > 0, copies_of(uniform(F.col(at[id_col]), F.col(at[text_col])), F.col("_ow"))).otherwise(F.lit(0))
+    copies = F.when(F.coalesce(F.col(at[text_col]).rlike(WORD), F.lit(False)), copies_of(uniform(F.col(at[id_col]), F.col(at[text_col])), F.col("_ow"))).otherwise(F.lit(0))
     return j.withColumn("_n", copies.cast("int")).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*at.values()).toDF(*names)
 
 
