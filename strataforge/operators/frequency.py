@@ -40,22 +40,25 @@ def as_text(name: str) -> Column:
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(ordinal, value, cnt): how often each value, in string form, occurs in each column; null is a value."""
-    names = df.columns
-    cells = [F.struct(F.lit(names.index(c)).alias("ordinal"), as_text(c).alias("value")) for c in (columns or names)]
+    """(ordinal, text, value, cnt): how often each value, in string form, occurs in each column; null is a value.
+
+    `text` tells string columns. As it is data and not part of later expressions, these have the
+    same generated code for every table, which is then compiled once.
+    """
+    at = {f.name: (i, is_string(f.dataType)) for i, f in enumerate(df.schema.fields)}
+    cells = [F.struct(F.lit(at[c][0]).alias("ordinal"), F.lit(at[c][1]).alias("text"), as_text(c).alias("value")) for c in (columns or df.columns)]
     if not cells:
-        return df.sparkSession.createDataFrame([], "ordinal int, value string, cnt long")
-    return df.select(F.inline(F.array(*cells))).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        return df.sparkSession.createDataFrame([], "ordinal int, text boolean, value string, cnt long")
+    return df.select(F.inline(F.array(*cells))).groupBy("ordinal", "text", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _weighted(hit: Column) -> Column:
     return F.sum(F.when(hit, F.col("cnt")).otherwise(F.lit(0)))
 
 
-def value_statistics(freq: DataFrame, strings: list[int]) -> DataFrame:
+def value_statistics(freq: DataFrame) -> DataFrame:
     """One row per ordinal: counts, distinct, extremes, lengths, and maps of pattern and type counts for strings."""
-    v = F.col("value")
-    text = F.col("ordinal").isin(strings) if strings else F.lit(False)
+    v, text = F.col("value"), F.col("text")
     filled = text & (F.trim(v) != "")
     patterns = [x for name, hit in pattern_hits(v).items() for x in (F.lit(name), _weighted(text & hit))]
     types = [x for name, hit in type_hits(v).items() for x in (F.lit(name), _weighted(filled & hit))]
@@ -134,8 +137,7 @@ def basic_statistics(df: DataFrame, approx: bool = False, batch: int = 50) -> Da
     spark = df.sparkSession
     fields = df.schema.fields
     columns = spark.createDataFrame([(i, f.name, str(f.dataType), is_numeric(f.dataType)) for i, f in enumerate(fields)], "ordinal int, column_name string, spark_type string, is_numeric boolean")
-    strings = [i for i, f in enumerate(fields) if is_string(f.dataType)]
-    stats = wide_statistics(df, batch, True) if approx else value_statistics(frequencies(df), strings)
+    stats = wide_statistics(df, batch, True) if approx else value_statistics(frequencies(df))
     filled = F.col("total_count") - F.col("null_count")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return columns.join(F.broadcast(stats), "ordinal", "left").select(  # stats: one row per column
@@ -150,7 +152,7 @@ def basic_statistics(df: DataFrame, approx: bool = False, batch: int = 50) -> Da
 def pattern_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, pattern, matches, non_null, coverage) for every pattern, over distinct values."""
     freq = frequencies(df, columns)
-    stats = value_statistics(freq, [df.columns.index(c) for c in columns])
+    stats = value_statistics(freq)
     names = df.sparkSession.createDataFrame([(df.columns.index(c), c) for c in columns], "ordinal int, column_name string")
     rows = stats.join(F.broadcast(names), "ordinal").select("column_name", (F.col("total_count") - F.col("null_count")).alias("non_null"), F.explode("pattern_counts").alias("pattern", "matches"))
     return rows.select("column_name", "pattern", "matches", "non_null", F.when(F.col("non_null") > 0, F.round(F.col("matches") / F.col("non_null"), 4)).otherwise(0.0).alias("coverage"))
@@ -173,7 +175,7 @@ def inferred_types(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, target_type, format, confidence) of string columns; null where no rung is reached."""
     from strataforge.functions.patterns import climb
 
-    stats = value_statistics(frequencies(df, columns), [df.columns.index(c) for c in columns])
+    stats = value_statistics(frequencies(df, columns))
     rows = []
     for r in stats.collect():  # one row per column
         got = climb(r["type_counts"], r["filled_count"]) or (None, None, None)

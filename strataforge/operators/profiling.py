@@ -29,15 +29,14 @@ class ProfileEngine:
         cfg = tune_profiling(self.config, metrics)
         part, sampled, fraction = auto_sample(df, cfg.sample_threshold_rows, cfg.sample_fraction, max(metrics.row_count, 0))
         fields = df.schema.fields
-        strings = [i for i, f in enumerate(fields) if fq.is_string(f.dataType)]
         if cfg.approx_distinct:
             by = {r["ordinal"]: r.asDict() for r in fq.wide_statistics(part, cfg.column_batch_size, True, cfg.max_top_values).collect()}  # one row per column
             for r in by.values():
                 r["examples"] = sorted(t["value"] for t in r["top"] or () if t["value"].strip(" "))[:5]
         else:
             with cached(fq.frequencies(part)) as freq:
-                rows = fq.value_statistics(freq, strings).join(F.broadcast(fq.top_values(freq, cfg.max_top_values)), "ordinal", "left")
-                rows = rows.join(F.broadcast(fq.example_values(freq.where(F.col("ordinal").isin(strings)))), "ordinal", "left") if strings else rows.withColumn("examples", F.lit(None))
+                rows = fq.value_statistics(freq).join(F.broadcast(fq.top_values(freq, cfg.max_top_values)), "ordinal", "left")
+                rows = rows.join(F.broadcast(fq.example_values(freq.where("text"))), "ordinal", "left")
                 by = {r["ordinal"]: r.asDict() for r in rows.collect()}
         numeric = [f.name for f in fields if fq.is_numeric(f.dataType)]
         spread = fq.quantiles(part, numeric, cfg.approx_quantile_error)

@@ -574,7 +574,7 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(src).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     fold_batches(stream, f"{state}/state", f"{state}/checkpoint").awaitTermination()
     names = spark.createDataFrame(list(enumerate(stream.columns)), "ordinal int, column_name string")
-    return stream_profile(spark, f"{state}/state", stream.schema).join(F.broadcast(names), "ordinal").select("column_name", "total_count", "null_count", "distinct_count", "min_value", "max_value")
+    return stream_profile(spark, f"{state}/state").join(F.broadcast(names), "ordinal").select("column_name", "total_count", "null_count", "distinct_count", "min_value", "max_value")
 
 
 STREAM_SQL = union_all(f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, min(CAST({c} AS VARCHAR)) AS min_value, max(CAST({c} AS VARCHAR)) AS max_value FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))

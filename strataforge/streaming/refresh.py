@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.operators.frequency import frequencies, is_string, value_statistics
+from strataforge.operators.frequency import frequencies, value_statistics
 
 
 def fold_batches(stream: DataFrame, state_dir: str, checkpoint: str, **trigger):
@@ -21,9 +21,9 @@ def fold_batches(stream: DataFrame, state_dir: str, checkpoint: str, **trigger):
 
 
 def folded(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(state_dir).groupBy("ordinal", "value").agg(F.sum("cnt").alias("cnt"))
+    return spark.read.parquet(state_dir).groupBy("ordinal", "text", "value").agg(F.sum("cnt").alias("cnt"))
 
 
-def stream_profile(spark: SparkSession, state_dir: str, schema) -> DataFrame:
+def stream_profile(spark: SparkSession, state_dir: str) -> DataFrame:
     """value_statistics of all batches so far."""
-    return value_statistics(folded(spark, state_dir), [i for i, f in enumerate(schema.fields) if is_string(f.dataType)])
+    return value_statistics(folded(spark, state_dir))

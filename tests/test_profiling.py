@@ -63,7 +63,7 @@ def test_type_ladder(spark, values, target, fmt):
 def test_wide_statistics_agree_with_frequencies(spark, customers, orders):
     for df in (customers, orders):
         text = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
-        a = {r["ordinal"]: r.asDict() for r in fq.value_statistics(fq.frequencies(df), text).collect()}
+        a = {r["ordinal"]: r.asDict() for r in fq.value_statistics(fq.frequencies(df)).collect()}
         b = {r["ordinal"]: r.asDict() for r in fq.wide_statistics(df, batch=2, approx=False, top=3).collect()}
         for i in a:
             assert b[i].pop("top") is not None
