@@ -12,9 +12,10 @@
    t_i that minimise its probes and the candidates expected from histograms of the partitions'
    bytes; a partition whose value is frequent is then skipped (-1) or probed exactly, and others
    are probed wider.
-5. Probe and verify: fingerprints and probes meet by (partition, value). Small groups are
-   compared as a whole, large ones by breadth-first search over the rows not yet reached, which
-   gives a spanning forest in place of all pairs. A value held by many fingerprints is split:
+5. Probe and verify: fingerprints and probes meet by (partition, value), and every index row is
+   compared with the group's index rows and probes. What is sent on is a spanning forest of the
+   links, the shortest first, in place of all pairs; very large groups find theirs by
+   breadth-first search over the rows not yet reached. A value held by many fingerprints is split:
    its probes are dealt over salts and its index rows copied to each.
 6. Connected components of the links; the smallest id is the group's.
 
@@ -43,8 +44,9 @@ from strataforge.llm.components import connected_components
 SEED = 42
 TAU = 4
 NO_ID = (1 << 63) - 1
-PROBE_COST, CANDIDATE_COST = 1.0, 0.01
-GROUP_SMALL = 48
+PROBE_COST, CANDIDATE_COST = 1.0, 0.005
+#: Candidates for verification: of texts with more links than this, those that a shortest forest needs.
+CANDIDATE_DEGREE = 16
 
 
 def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
@@ -294,94 +296,126 @@ def _probe_rows(alloc: Allocator, hot: dict[int, int]):
                             src = np.repeat(again, times)
                             each = np.arange(len(src)) - np.repeat(np.cumsum(times) - times, times)
                             once = np.flatnonzero(p | (n == 1))
-                            k, r = np.concatenate((k[once], k[src])), np.concatenate((r[once], r[src]))
+                            k, r, p = np.concatenate((k[once], k[src])), np.concatenate((r[once], r[src])), np.concatenate((p[once], p[src]))
                             salt = np.concatenate((salt[once], each.astype(np.int32)))
                     for at in range(0, len(k), 50_000):
                         cut = slice(at, at + 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(salt[cut]), pa.array(rep[r[cut]]), pa.array(fp[r[cut]])], names=["key", "salt", "rep", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(salt[cut]), pa.array(p[cut]), pa.array(rep[r[cut]]), pa.array(fp[r[cut]])], names=["key", "salt", "probe", "rep", "fp"])
 
     return run
 
 
-def spanning_forest(f: np.ndarray, tau: int, nearest_first: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spanning_forest(f: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (positions) that connect the different fingerprints f as all links within tau bits do.
 
-    Breadth-first search against the rows not yet reached. nearest_first goes up from the
-    smallest distance and keeps only links between parts not joined before, so links are as
-    short as they can be: a minimum spanning forest.
+    Breadth-first search against the rows not yet reached.
     """
-    if not nearest_first:
-        rest = np.arange(len(f))
-        while len(rest) > 1:
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                x = todo.pop()
-                near = np.bitwise_count(f[rest] ^ f[x]) <= tau
-                if near.any():
-                    found = rest[near]
-                    yield np.full(len(found), x), found
-                    todo.extend(found)
-                    rest = rest[~near]
-        return
-    part = np.arange(len(f))
-    for t in range(1, tau + 1):
-        left = np.ones(len(f), dtype=bool)
-        for root in range(len(f)):
-            if not left[root]:
-                continue
-            todo = [root]
-            left[root] = False
-            while todo:
-                x = todo.pop()
-                open_ = np.flatnonzero(left)
-                found = open_[(part[open_] == part[x]) | (np.bitwise_count(f[open_] ^ f[x]) <= t)]
-                left[found] = False
-                todo.extend(found.tolist())
-                joined, first = np.unique(part[found], return_index=True)
-                new = joined != part[x]
-                if new.any():
-                    far = found[first[new]]
-                    d = np.bitwise_count(f[far] ^ f[x]) <= t
-                    yield np.full(int(d.sum()), x), far[d]
-                    for p in joined[new]:
-                        part[part == p] = part[x]
-        if (part == part[0]).all():
-            return
-
-
-def links_of_groups(group: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, nearest_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links (pairs of reps) within groups of sorted group numbers; of large groups a spanning forest."""
+    rest = np.arange(len(f))
+    while len(rest) > 1:
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            near = np.bitwise_count(f[rest] ^ f[x]) <= tau
+            if near.any():
+                found = rest[near]
+                yield np.full(len(found), x), found
+                todo.extend(found)
+                rest = rest[~near]
+
+
+def _lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest position reachable by links (i, j), for n positions."""
+    lab = np.arange(n)
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, i, lab[j])
+        np.minimum.at(new, j, lab[i])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def thin_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all of (u, v) at distances d connect, the shortest first.
+
+    Links between nodes of at most `degree` links all stay; None: a forest only.
+    """
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    keep = np.zeros(len(u), dtype=bool)
+    if degree is not None:
+        n = np.bincount(at, minlength=len(nodes))
+        keep = (n[i] <= degree) & (n[j] <= degree)
+    lab = _lowest(i[keep], j[keep], len(nodes))
+    for t in np.unique(d):
+        while True:  # one link for each pair of parts at this distance, until no parts are left to join
+            open_ = np.flatnonzero((d == t) & (lab[i] != lab[j]))
+            if not len(open_):
+                break
+            a, b = lab[i[open_]], lab[j[open_]]
+            _, first = np.unique(np.maximum(a, b), return_index=True)  # each part joins one of smaller label
+            pick = open_[first]
+            keep[pick] = True
+            low = _lowest(lab[i[pick]], lab[j[pick]], len(nodes))
+            lab = low[lab]
+    return u[keep], v[keep]
+
+
+PAIRS_AT_ONCE = 2_000_000
+GROUP_PAIRS = 20_000_000
+
+
+def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups. Rows are sorted by group, index rows before probes.
+
+    Index rows meet each other and the group's probes; probes do not meet. Of a group of over
+    GROUP_PAIRS such pairs a forest comes from breadth-first search instead.
+    """
+    n = len(group)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    sizes = np.diff(np.append(starts, len(group)))
-    a, b = [], []
-    small = (sizes > 1) & (sizes <= GROUP_SMALL)
-    for size in np.unique(sizes[small]):
-        rows = starts[small & (sizes == size)]
-        i, j = np.triu_indices(int(size), 1)
-        step = max(1, 2_000_000 // len(i))
-        for at in range(0, len(rows), step):
-            x = (rows[at : at + step, None] + i[None, :]).reshape(-1)
-            y = (rows[at : at + step, None] + j[None, :]).reshape(-1)
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= tau
-            near &= rep[x] != rep[y]
-            a.append(rep[x[near]])
-            b.append(rep[y[near]])
-    for s, n in zip(starts[sizes > GROUP_SMALL], sizes[sizes > GROUP_SMALL]):
-        f, at = np.unique(fp[s : s + n], return_index=True)
-        for i, j in spanning_forest(f, tau, nearest_first):
-            a.append(rep[s : s + n][at][i])
-            b.append(rep[s : s + n][at][j])
+    ends = np.append(starts[1:], n)
+    index = np.add.reduceat((~probe).astype(np.int64), starts)
+    size = ends - starts
+    wide = index * size > GROUP_PAIRS
+    own = np.repeat(np.arange(len(starts)), size)
+    left = np.flatnonzero(~probe & ~wide[own])  # an index row meets the rows after it
+    many = ends[own[left]] - left - 1
+    a, b, dist = [], [], []
+    before = np.concatenate(([0], np.cumsum(many)))
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, side="right")) - 1)
+        m = many[at:to]
+        x = np.repeat(left[at:to], m)
+        y = x + 1 + np.arange(len(x)) - np.repeat(before[at:to] - before[at], m)
+        d = np.bitwise_count(fp[x] ^ fp[y])
+        near = (d <= tau) & (rep[x] != rep[y])
+        a.append(rep[x[near]])
+        b.append(rep[y[near]])
+        dist.append(d[near])
+        at = to
+    for s, e in zip(starts[wide], ends[wide]):
+        f, where = np.unique(fp[s:e], return_index=True)
+        r = rep[s:e][where]
+        for i, j in spanning_forest(f, tau):
+            a.append(r[i])
+            b.append(r[j])
+            dist.append(np.bitwise_count(f[i] ^ f[j]))
     none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    if not a:
+        return none, none
+    u, v, d = (np.concatenate(z) for z in (a, b, dist))
+    return thin_links(np.minimum(u, v), np.maximum(u, v), d, degree) if len(u) else (none, none)
 
 
-def _verify(tau: int, nearest_first: bool = False):
-    """Rows sorted by (key, salt) -> links. A group may run over several batches."""
+def _verify(tau: int, degree: int | None = None):
+    """Rows sorted by (key, salt, probe) -> links. A group may run over several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 now = [np.concatenate((h, n)) for h, n in zip(held, now)]
             key, salt = now[0], now[1]
@@ -396,21 +430,21 @@ def _verify(tau: int, nearest_first: bool = False):
             yield from emit(held)
 
     def emit(rows):
-        key, salt, rep, fp = rows
+        key, salt, probe, rep, fp = rows
         change = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        a, b = links_of_groups(np.cumsum(change), rep, fp.view(np.uint64), tau, nearest_first)
+        a, b = links_of_groups(np.cumsum(change), probe, rep, fp.view(np.uint64), tau, degree)
         for i in range(0, len(a), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], names=["u", "v"])
 
     return run
 
 
-def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, nearest_first: bool = False) -> DataFrame:
+def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, degree: int | None = None, parts: int | None = None) -> DataFrame:
     """distinct(rep long, fp long, one row per fp) -> links (u, v) that connect what lies within tau bits."""
     n, co = bit_statistics(distinct)
     if not n:
         return distinct.select(F.col("rep").alias("u"), F.col("rep").alias("v"))
-    parts = group_bits(n, co, choose_parts(n, tau))
+    parts = group_bits(n, co, parts or choose_parts(n, tau))
     alloc = Allocator(n, parts, histograms(distinct, parts), tau)
     # values held by over `limit` fingerprints: at most m * n / limit <= 2,000 rows
     limit = max(hot_rows, math.ceil(n * len(parts) / 2000))
@@ -423,8 +457,8 @@ def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, nea
 
     counts = distinct.select("fp").mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
     hot = {r["key"]: -(-r["count"] // limit) for r in counts.collect()}
-    rows = distinct.select("rep", "fp").mapInArrow(_probe_rows(alloc, hot), "key long, salt int, rep long, fp long")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_verify(tau, nearest_first), "u long, v long")
+    rows = distinct.select("rep", "fp").mapInArrow(_probe_rows(alloc, hot), "key long, salt int, probe boolean, rep long, fp long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe").mapInArrow(_verify(tau, degree), "u long, v long")
 
 
 def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -441,7 +475,7 @@ def similar_links(links: DataFrame, df: DataFrame, id_col: str, text_col: str, w
     links = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(nodes, texts["id"] == nodes["node"], "left_semi")
+    texts = texts.join(nodes.hint("shuffle_hash"), texts["id"] == nodes["node"], "left_semi")  # grows with the corpus: never broadcast
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "s"])
@@ -460,16 +494,17 @@ def similar_links(links: DataFrame, df: DataFrame, id_col: str, text_col: str, w
     return links.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(arrow_rows(compare), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(fingerprints: id, fp; groups: fp, rep, component) as tables of the shared folder.
 
     With min_similarity the links within tau bits are candidates, and those between texts of
-    a lower Jaccard similarity of `width`-word shingles are dropped.
+    a lower Jaccard similarity of `width`-word shingles are dropped. parts: number of bit
+    partitions, None for the one of the least expected cost at this number of fingerprints.
     """
     scratch = Scratch(df.sparkSession)
     fps = scratch.keep(fingerprints(df, id_col, text_col, width), "fps")
     distinct = scratch.keep(fps.groupBy("fp").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).cast("long").alias("rep")), "distinct")
-    links = hamming_links(distinct, tau, nearest_first=min_similarity is not None)
+    links = hamming_links(distinct, tau, degree=None if min_similarity is None else CANDIDATE_DEGREE, parts=parts)
     if min_similarity is not None:
         links = similar_links(scratch.keep(links, "candidates"), df, id_col, text_col, width, min_similarity)
     found = connected_components(links, scratch)
@@ -485,7 +520,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     own = f"_c{names.index(id_col)}"
     plain = plain.withColumn("_id", F.coalesce(F.col(own).cast("long"), F.lit(NO_ID)))
-    j = plain.join(kept, plain["_id"] == kept["_keep"], "left_semi")
+    j = plain.join(kept.hint("shuffle_hash"), plain["_id"] == kept["_keep"], "left_semi")  # grows with the corpus: never broadcast
     first = j.withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_id"))).where("_r = 1")
     return first.drop("_id", "_r").toDF(*names)
 

@@ -80,12 +80,32 @@ def test_links_join_what_all_pairs_join(spark, tau, hot):
     f = fingerprint_set(900, tau + 1)
     df = spark.createDataFrame([(i, int(x.astype(np.int64))) for i, x in enumerate(f)], "rep long, fp long")
     want = forest((i, j) for i in range(len(f)) for j in (np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= tau) + i + 1).tolist())
-    for near in (False, True):
-        got = [tuple(r) for r in sim.hamming_links(df, tau, hot_rows=hot, nearest_first=near).collect()]
+    for degree in (None, 16):
+        got = [tuple(r) for r in sim.hamming_links(df, tau, hot_rows=hot, degree=degree).collect()]
         assert forest(got) == want
         assert all(int(f[a]) ^ int(f[b]) and (int(f[a]) ^ int(f[b])).bit_count() <= tau for a, b in got)
 
 
+def test_wide_groups_and_thinning(monkeypatch):
+    f = fingerprint_set(500, 9)
+    rep = np.arange(len(f), dtype=np.int64)
+    pairs = [(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if (int(f[i]) ^ int(f[j])).bit_count() <= 5]
+    want = forest(pairs)
+    group, probe = np.zeros(len(f), dtype=np.int64), np.zeros(len(f), dtype=bool)
+    for limit, degree in ((10**9, None), (10**9, 3), (10**9, 10**6), (10, None)):
+        monkeypatch.setattr(sim, "GROUP_PAIRS", limit)
+        u, v = sim.links_of_groups(group, probe, rep, f, 5, degree)
+        assert forest(zip(u.tolist(), v.tolist())) == want
+        if degree is None:
+            assert len(u) == len(want) - len(set(want.values()))
+        if degree == 10**6:
+            assert sorted(zip(u.tolist(), v.tolist())) == pairs
+    probe[250:] = True  # probes do not meet
+    monkeypatch.setattr(sim, "GROUP_PAIRS", 10**9)
+    u, v = sim.links_of_groups(group, probe, rep, f, 5, 10**6)
+    assert sorted(zip(u.tolist(), v.tolist())) == [p for p in pairs if p[0] < 250]
+
+
 def test_thresholds_sum_up_and_cover():
     f = fingerprint_set(300, 5)
     x = sim.bits_of(f).astype(float)
