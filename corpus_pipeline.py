@@ -14,8 +14,9 @@ from strataforge.llm import op2_simhash, op4_pii, op5_quality, op6_mix, op10_pac
 from strataforge.llm._common import Scratch, table
 
 #: Near-duplicates: shingles of five words and a Jaccard similarity of 0.8 or more among the
-#: candidates within CANDIDATE_BITS bits.
-SHINGLE_WORDS, MIN_SIMILARITY, CANDIDATE_BITS = 5, 0.8, 8
+#: candidates within CANDIDATE_BITS bits. With a fixed number of bit partitions a fingerprint has
+#: as many probes at every size; None chooses the number by cost, for corpora beyond some 10^7 texts.
+SHINGLE_WORDS, MIN_SIMILARITY, CANDIDATE_BITS, BIT_PARTITIONS = 5, 0.8, 10, 6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op2_simhash.drop_near_duplicates(docs, width=SHINGLE_WORDS, tau=CANDIDATE_BITS, min_similarity=MIN_SIMILARITY)
+    return op2_simhash.drop_near_duplicates(docs, width=SHINGLE_WORDS, tau=CANDIDATE_BITS, min_similarity=MIN_SIMILARITY, parts=BIT_PARTITIONS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
