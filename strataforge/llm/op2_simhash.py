@@ -336,10 +336,11 @@ def _lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         lab = new
 
 
-def thin_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what all of (u, v) at distances d connect, the shortest first.
+def thin_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int | None) -> np.ndarray:
+    """Which of the links (u, v) at distances d to keep so that they connect what all do, the shortest first.
 
-    Links between nodes of at most `degree` links all stay; None: a forest only.
+    Links between nodes of at most `degree` links all stay; None: a forest only. Of equal
+    links the first stays, so the order of the links decides.
     """
     nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
     i, j = at[: len(u)], at[len(u) :]
@@ -359,7 +360,7 @@ def thin_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int | None)
             keep[pick] = True
             low = _lowest(lab[i[pick]], lab[j[pick]], len(nodes))
             lab = low[lab]
-    return u[keep], v[keep]
+    return keep
 
 
 PAIRS_AT_ONCE = 2_000_000
@@ -370,7 +371,9 @@ def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: n
     """Links within groups. Rows are sorted by group, index rows before probes.
 
     Index rows meet each other and the group's probes; probes do not meet. Of a group of over
-    GROUP_PAIRS such pairs a forest comes from breadth-first search instead.
+    GROUP_PAIRS such pairs a forest comes from breadth-first search instead. Links are thinned
+    within their group, so the result depends on a group's rows and their order alone, not on
+    what else is in the task.
     """
     n = len(group)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -381,7 +384,7 @@ def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: n
     own = np.repeat(np.arange(len(starts)), size)
     left = np.flatnonzero(~probe & ~wide[own])  # an index row meets the rows after it
     many = ends[own[left]] - left - 1
-    a, b, dist = [], [], []
+    a, b, dist, of = [], [], [], []
     before = np.concatenate(([0], np.cumsum(many)))
     at = 0
     while at < len(left):
@@ -394,23 +397,29 @@ def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: n
         a.append(rep[x[near]])
         b.append(rep[y[near]])
         dist.append(d[near])
+        of.append(own[x[near]])
         at = to
-    for s, e in zip(starts[wide], ends[wide]):
+    for g, s, e in zip(np.flatnonzero(wide), starts[wide], ends[wide]):
         f, where = np.unique(fp[s:e], return_index=True)
         r = rep[s:e][where]
         for i, j in spanning_forest(f, tau):
             a.append(r[i])
             b.append(r[j])
             dist.append(np.bitwise_count(f[i] ^ f[j]))
+            of.append(np.full(len(i), g))
     none = np.zeros(0, dtype=np.int64)
     if not a:
         return none, none
-    u, v, d = (np.concatenate(z) for z in (a, b, dist))
-    return thin_links(np.minimum(u, v), np.maximum(u, v), d, degree) if len(u) else (none, none)
+    u, v, d, g = (np.concatenate(z) for z in (a, b, dist, of))
+    if not len(u):
+        return none, none
+    names, code = np.unique(np.concatenate((u, v)), return_inverse=True)
+    keep = thin_links(g * len(names) + code[: len(u)], g * len(names) + code[len(u) :], d, degree)
+    return np.minimum(u, v)[keep], np.maximum(u, v)[keep]
 
 
 def _verify(tau: int, degree: int | None = None):
-    """Rows sorted by (key, salt, probe) -> links. A group may run over several batches."""
+    """Rows sorted by (key, salt, probe, fp) -> links. A group may run over several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -458,7 +467,7 @@ def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, deg
     counts = distinct.select("fp").mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
     hot = {r["key"]: -(-r["count"] // limit) for r in counts.collect()}
     rows = distinct.select("rep", "fp").mapInArrow(_probe_rows(alloc, hot), "key long, salt int, probe boolean, rep long, fp long")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe").mapInArrow(_verify(tau, degree), "u long, v long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe", "fp").mapInArrow(_verify(tau, degree), "u long, v long")
 
 
 def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:

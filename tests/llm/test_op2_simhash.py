@@ -106,6 +106,13 @@ def test_wide_groups_and_thinning(monkeypatch):
     assert sorted(zip(u.tolist(), v.tolist())) == [p for p in pairs if p[0] < 250]
 
 
+def test_links_do_not_depend_on_partitions(spark):
+    f = fingerprint_set(600, 3)
+    df = spark.createDataFrame([(i, int(x.astype(np.int64))) for i, x in enumerate(f)], "rep long, fp long")
+    found = [sorted(set(map(tuple, sim.hamming_links(df.repartition(n), 8, degree=4, parts=5).collect()))) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
 def test_thresholds_sum_up_and_cover():
     f = fingerprint_set(300, 5)
     x = sim.bits_of(f).astype(float)
