@@ -67,38 +67,53 @@ def encoder(name: str):
     core, which gives the same ids at about a third of the cost; any other file, and texts that hold an added
     token's string, go through the tokenizers library.
     """
-    from tokenizers import Tokenizer
-
     path = tokenizer_path(name)
-    slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
     added = [t["content"] for t in spec.get("added_tokens", [])]
-    pre = spec.get("pre_tokenizer") or {}
-    if spec.get("normalizer") or spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return plain
+
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def plain(text: str) -> list[int]:
+        return library().encode(text, add_special_tokens=False).ids
+
+    ranks = byte_ranks(spec, added)
     try:
         import tiktoken
     except ImportError:
+        ranks = None
+    if ranks is None:
         return plain
-    alphabet = byte_alphabet()
-    vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in added}
-    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in spec["model"]["merges"]]
-    if any(c not in alphabet for k in vocab for c in k) or merged != sorted(merged) or -1 in merged:
-        return plain
-    ranks = {bytes(alphabet[c] for c in k): v for k, v in vocab.items()}
-    wide = tiktoken.Encoding("wide", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    narrow = tiktoken.Encoding("narrow", pat_str=SPLIT_NARROW, mergeable_ranks=ranks, special_tokens={})
+
+    @lru_cache(maxsize=2)
+    def core(pattern: str):  # made where needed: hardly any text needs the second
+        return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if any(a in text for a in added):
             return plain(text)
-        return (wide if _WIDE_SPACE.search(text) else narrow).encode_ordinary(text)
+        return core(SPLIT if _WIDE_SPACE.search(text) else SPLIT_NARROW).encode_ordinary(text)
 
     return encode
 
 
+def byte_ranks(spec: dict, added: list[str]) -> dict[bytes, int] | None:
+    """token -> id of a byte-level vocabulary whose merges are in the order of its ids; None for any other."""
+    pre = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    alphabet = byte_alphabet()
+    vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in added}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in spec["model"]["merges"]]
+    if any(c not in alphabet for k in vocab for c in k) or merged != sorted(merged) or -1 in merged:
+        return None
+    return {bytes(alphabet[c] for c in k): v for k, v in vocab.items()}
+
+
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
