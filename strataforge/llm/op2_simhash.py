@@ -45,8 +45,11 @@ SEED = 42
 TAU = 4
 NO_ID = (1 << 63) - 1
 PROBE_COST, CANDIDATE_COST = 1.0, 0.005
-#: Candidates for verification: of texts with more links than this, those that a shortest forest needs.
-CANDIDATE_DEGREE = 16
+#: Candidates for verification, in the first round: of texts with more links than this, those that a
+#: shortest forest needs. What is left out is offered again in rounds, each with DEGREE_GROWTH times as many.
+CANDIDATE_DEGREE, DEGREE_GROWTH = 16, 4
+#: Bits of a shingle set's parity map, for an upper bound on the overlap of two sets.
+PARITY_BITS = 1024
 
 
 def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
@@ -257,8 +260,8 @@ def flips(width: int, radius: int) -> np.ndarray:
 # ---- probing ------------------------------------------------------------------------------
 
 
-def _probe_rows(alloc: Allocator, hot: dict[int, int]):
-    """(rep, fp) -> (key, salt, rep, fp): index rows in every partition, probes within its threshold."""
+def _probe_rows(alloc: Allocator, hot: dict[int, int], more: tuple[str, ...] = ()):
+    """(rep, fp, *more) -> (key, salt, probe, rep, fp, *more): index rows in every partition, probes within its threshold."""
     parts = alloc.parts
     masks = {(len(p), t): flips(len(p), t) for p in parts for t in range(1, alloc.tau + 1) if ball(len(p), t) < 1 << 20}
 
@@ -300,7 +303,7 @@ def _probe_rows(alloc: Allocator, hot: dict[int, int]):
                             salt = np.concatenate((salt[once], each.astype(np.int32)))
                     for at in range(0, len(k), 50_000):
                         cut = slice(at, at + 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(salt[cut]), pa.array(p[cut]), pa.array(rep[r[cut]]), pa.array(fp[r[cut]])], names=["key", "salt", "probe", "rep", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(salt[cut]), pa.array(p[cut]), pa.array(rep[r[cut]]), pa.array(fp[r[cut]]), *[batch.column(c).take(pa.array(r[cut])) for c in range(2, 2 + len(more))]], names=["key", "salt", "probe", "rep", "fp", *more])
 
     return run
 
@@ -367,8 +370,36 @@ PAIRS_AT_ONCE = 2_000_000
 GROUP_PAIRS = 20_000_000
 
 
+class Known:
+    """What later rounds know of the rows: their component, and size and parity map of their shingle sets."""
+
+    def __init__(self, label: np.ndarray, sets: list[bytes], least: float):
+        packed = np.frombuffer(b"".join(sets), dtype="<u8").reshape(len(label), 1 + PARITY_BITS // 64)
+        self.label, self.size, self.parity, self.least = label, packed[:, 0].astype(np.float64), packed[:, 1:], least
+
+    def open_pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are of different components and not certainly below the similarity.
+
+        Each differing parity needs a shingle that only one of the sets has.
+        """
+        ok = self.label[x] != self.label[y]
+        at = np.flatnonzero(ok)
+        for lo in range(0, len(at), 50_000):
+            cut = at[lo : lo + 50_000]
+            i, j = x[cut], y[cut]
+            n = self.size[i] + self.size[j]
+            both = (n - np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64)) / 2
+            ok[cut] = both >= self.least * (n - both)
+        return ok
+
+
 def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups. Rows are sorted by group, index rows before probes.
+    """The links of thinned_groups."""
+    return thinned_groups(group, probe, rep, fp, tau, degree)[:2]
+
+
+def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within groups, and the nodes of links left out. Rows are sorted by group, index rows before probes.
 
     Index rows meet each other and the group's probes; probes do not meet. Of a group of over
     GROUP_PAIRS such pairs a forest comes from breadth-first search instead. Links are thinned
@@ -394,6 +425,8 @@ def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: n
         y = x + 1 + np.arange(len(x)) - np.repeat(before[at:to] - before[at], m)
         d = np.bitwise_count(fp[x] ^ fp[y])
         near = (d <= tau) & (rep[x] != rep[y])
+        if known is not None:
+            near[near] = known.open_pairs(x[near], y[near])
         a.append(rep[x[near]])
         b.append(rep[y[near]])
         dist.append(d[near])
@@ -409,22 +442,25 @@ def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: n
             of.append(np.full(len(i), g))
     none = np.zeros(0, dtype=np.int64)
     if not a:
-        return none, none
+        return none, none, none
     u, v, d, g = (np.concatenate(z) for z in (a, b, dist, of))
     if not len(u):
-        return none, none
+        return none, none, none
     names, code = np.unique(np.concatenate((u, v)), return_inverse=True)
     keep = thin_links(g * len(names) + code[: len(u)], g * len(names) + code[len(u) :], d, degree)
-    return np.minimum(u, v)[keep], np.maximum(u, v)[keep]
+    return np.minimum(u, v)[keep], np.maximum(u, v)[keep], np.unique(np.concatenate((u[~keep], v[~keep])))
 
 
-def _verify(tau: int, degree: int | None = None):
-    """Rows sorted by (key, salt, probe, fp) -> links. A group may run over several batches."""
+def _verify(tau: int, degree: int | None = None, least: float | None = None):
+    """Rows sorted by (key, salt, probe, fp) -> links, and (node, node, true) for nodes of links left out.
+
+    A group may run over several batches. least: the rows have what Known needs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if held is not None:
                 now = [np.concatenate((h, n)) for h, n in zip(held, now)]
             key, salt = now[0], now[1]
@@ -439,20 +475,34 @@ def _verify(tau: int, degree: int | None = None):
             yield from emit(held)
 
     def emit(rows):
-        key, salt, probe, rep, fp = rows
+        key, salt, probe, rep, fp = rows[:5]
         change = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        a, b = links_of_groups(np.cumsum(change), probe, rep, fp.view(np.uint64), tau, degree)
-        for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], names=["u", "v"])
+        known = None if least is None else Known(rows[5], rows[6].tolist(), least)
+        a, b, out = thinned_groups(np.cumsum(change), probe, rep, fp.view(np.uint64), tau, degree, known)
+        for x, y, cut in ((a, b, False), (out, out, True)):
+            if cut and degree is None:
+                break
+            for i in range(0, len(x), 50_000):
+                u, v = x[i : i + 50_000], y[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.full(len(u), cut))], names=["u", "v", "cut"])
 
     return run
 
 
 def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, degree: int | None = None, parts: int | None = None) -> DataFrame:
     """distinct(rep long, fp long, one row per fp) -> links (u, v) that connect what lies within tau bits."""
+    return candidate_links(distinct, tau, hot_rows, degree, parts).where("not cut").select("u", "v")
+
+
+def candidate_links(distinct: DataFrame, tau: int, hot_rows: int = 4096, degree: int | None = None, parts: int | None = None, least: float | None = None) -> DataFrame:
+    """Links (u, v, false) as hamming_links, and with a degree (node, node, true) for every node of a link left out.
+
+    least: distinct has the columns label and sets too, and only links that Known leaves open count.
+    """
+    more = () if least is None else ("label", "sets")
     n, co = bit_statistics(distinct)
     if not n:
-        return distinct.select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+        return distinct.select(F.col("rep").alias("u"), F.col("rep").alias("v"), F.lit(False).alias("cut"))
     parts = group_bits(n, co, parts or choose_parts(n, tau))
     alloc = Allocator(n, parts, histograms(distinct, parts), tau)
     # values held by over `limit` fingerprints: at most m * n / limit <= 2,000 rows
@@ -466,8 +516,8 @@ def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, deg
 
     counts = distinct.select("fp").mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
     hot = {r["key"]: -(-r["count"] // limit) for r in counts.collect()}
-    rows = distinct.select("rep", "fp").mapInArrow(_probe_rows(alloc, hot), "key long, salt int, probe boolean, rep long, fp long")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe", "fp").mapInArrow(_verify(tau, degree), "u long, v long")
+    rows = distinct.select("rep", "fp", *more).mapInArrow(_probe_rows(alloc, hot, more), "key long, salt int, probe boolean, rep long, fp long" + (", label long, sets binary" if more else ""))
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe", "fp").mapInArrow(_verify(tau, degree, least), "u long, v long, cut boolean")
 
 
 def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -503,6 +553,51 @@ def similar_links(links: DataFrame, df: DataFrame, id_col: str, text_col: str, w
     return links.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(arrow_rows(compare), "u long, v long")
 
 
+def parity_map(s: np.ndarray) -> bytes:
+    """Size of a set of hashes and the parities of its counts by their low bits."""
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def set_maps(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, sets: parity_map) of the texts of nodes(node long), of the same set as similar_links takes for an id."""
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(nodes.hint("shuffle_hash"), texts["id"] == nodes["node"], "left_semi")
+
+    def maps(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(list(map(parity_map, found)), pa.binary())], names=["id", "s", "sets"])
+
+    return texts.mapInArrow(arrow_rows(maps), "id long, s binary, sets binary").groupBy("id").agg(F.min_by("sets", "s").alias("sets"))
+
+
+def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, tau: int, least: float, parts: int | None, scratch: Scratch) -> DataFrame:
+    """Links (u, v) within tau bits and of a Jaccard similarity of at least `least`, that connect what all such links do.
+
+    A round verifies a thinned set of candidates. The texts of candidates left out come back in
+    the next one, where pairs within a component, and pairs that a bound on the similarity
+    excludes, are no candidates any more and the degree is higher. The last round leaves out none.
+    """
+    part, links, degree, k = distinct, None, CANDIDATE_DEGREE, 0
+    while True:
+        found = scratch.keep(candidate_links(part, tau, degree=degree, parts=parts, least=None if k == 0 else least), f"candidates{k}")
+        good = scratch.keep(similar_links(found.where("not cut").select("u", "v"), df, id_col, text_col, width, least), f"links{k}")
+        links = good if links is None else links.union(good)
+        cut = scratch.keep(found.where("cut").select(F.col("u").alias("node")).distinct(), f"cut{k}")
+        scratch.drop(f"candidates{k}")
+        if cut.isEmpty():
+            return links
+        labels = connected_components(links, scratch).select(F.col("node").alias("member"), "component")
+        if k == 0:
+            maps = set_maps(cut, df, id_col, text_col, width)
+            part = distinct.join(maps.hint("shuffle_hash"), F.col("rep") == F.col("id")).drop("id")
+        else:
+            part = part.join(cut.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi").drop("label")
+        part = part.join(labels.hint("shuffle_hash"), F.col("rep") == F.col("member"), "left")
+        part = scratch.keep(part.select("rep", "fp", F.coalesce("component", "rep").alias("label"), "sets"), f"part{k}")
+        k, degree = k + 1, degree * DEGREE_GROWTH
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(fingerprints: id, fp; groups: fp, rep, component) as tables of the shared folder.
 
@@ -513,9 +608,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession)
     fps = scratch.keep(fingerprints(df, id_col, text_col, width), "fps")
     distinct = scratch.keep(fps.groupBy("fp").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).cast("long").alias("rep")), "distinct")
-    links = hamming_links(distinct, tau, degree=None if min_similarity is None else CANDIDATE_DEGREE, parts=parts)
-    if min_similarity is not None:
-        links = similar_links(scratch.keep(links, "candidates"), df, id_col, text_col, width, min_similarity)
+    if min_similarity is None:
+        links = hamming_links(distinct, tau, parts=parts)
+    else:
+        links = verified_links(distinct, df, id_col, text_col, width, tau, min_similarity, parts, scratch)
     found = connected_components(links, scratch)
     groups = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     return fps, scratch.keep(groups, "groups")

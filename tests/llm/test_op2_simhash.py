@@ -160,3 +160,44 @@ def test_verified_links(spark):
     kept = sim.drop_near_duplicates(df, width=5, tau=16, min_similarity=0.8)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5] and kept.columns == df.columns
     assert kept.filter(F.col("text").isNull()).count() == 1
+
+
+def star_of_copies(n, seed, copies):
+    """A text of 200 words, and copies of it with some words changed: near to it, less so to each other."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(n)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        t = list(base)
+        for at in rnd.sample(range(n), rnd.choice((3, 4))):
+            t[at] = word()
+        out.append(" ".join(t))
+    rnd.shuffle(out)
+    return out
+
+
+def brute_force_components(texts, tau, least, width=5):
+    sets = [set(sim.shingle_set(t, width).tolist()) for t in texts]
+    f = np.array([sim.simhash(t, width) for t in texts], dtype=np.uint64)
+    pairs = [(i, j) for i in range(len(f)) for j in (np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= tau) + i + 1).tolist()]
+    root = forest((i, j) for i, j in pairs if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))
+    return [root.get(i, i) for i in range(len(texts))]
+
+
+def test_dense_near_copies_against_all_verified_links(spark):
+    texts = [t for k in range(2) for t in star_of_copies(200, k, 150)]
+    want = [i for i, r in enumerate(brute_force_components(texts, 10, 0.8)) if i == r]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sim.drop_near_duplicates(df, width=5, tau=10, min_similarity=0.8, parts=6)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_bound_on_similarity_holds():
+    sets = [sim.shingle_set(t, 5) for t in star_of_copies(200, 3, 40)] + [sim.shingle_set(None, 5), sim.shingle_set("a b", 5)]
+    known = sim.Known(np.arange(len(sets)), list(map(sim.parity_map, sets)), 0.8)
+    x, y = (np.array(z) for z in zip(*[(i, j) for i in range(len(sets)) for j in range(i)]))
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    true = both >= 0.8 * (np.array([len(sets[i]) + len(sets[j]) for i, j in zip(x, y)]) - both)
+    ok = known.open_pairs(x, y)
+    assert true.any() and ok[true].all() and not ok.all()
