@@ -15,7 +15,8 @@
 5. Probe and verify: fingerprints and probes meet by (partition, value), and every index row is
    compared with the group's index rows and probes. What is sent on is a spanning forest of the
    links, the shortest first, in place of all pairs; very large groups find theirs by
-   breadth-first search over the rows not yet reached. A value held by many fingerprints is split:
+   breadth-first search over the rows not yet reached, or, where links are only candidates for
+   verification, compare their pairs in blocks. A value held by many fingerprints is split:
    its probes are dealt over salts and its index rows copied to each.
 6. Connected components of the links; the smallest id is the group's.
 
@@ -368,6 +369,7 @@ def thin_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int | None)
 
 PAIRS_AT_ONCE = 2_000_000
 GROUP_PAIRS = 20_000_000
+HELD_PAIRS = 2_000_000
 
 
 class Known:
@@ -402,7 +404,8 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
     """Links within groups, and the nodes of links left out. Rows are sorted by group, index rows before probes.
 
     Index rows meet each other and the group's probes; probes do not meet. Of a group of over
-    GROUP_PAIRS such pairs a forest comes from breadth-first search instead. Links are thinned
+    GROUP_PAIRS such pairs a forest comes from breadth-first search instead if no degree is
+    given; else it is compared in blocks and thinned as they come. Links are thinned
     within their group, so the result depends on a group's rows and their order alone, not on
     what else is in the task.
     """
@@ -413,26 +416,63 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
     size = ends - starts
     wide = index * size > GROUP_PAIRS
     own = np.repeat(np.arange(len(starts)), size)
-    left = np.flatnonzero(~probe & ~wide[own])  # an index row meets the rows after it
-    many = ends[own[left]] - left - 1
-    a, b, dist, of = [], [], [], []
-    before = np.concatenate(([0], np.cumsum(many)))
-    at = 0
-    while at < len(left):
-        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, side="right")) - 1)
-        m = many[at:to]
-        x = np.repeat(left[at:to], m)
-        y = x + 1 + np.arange(len(x)) - np.repeat(before[at:to] - before[at], m)
-        d = np.bitwise_count(fp[x] ^ fp[y])
-        near = (d <= tau) & (rep[x] != rep[y])
-        if known is not None:
-            near[near] = known.open_pairs(x[near], y[near])
-        a.append(rep[x[near]])
-        b.append(rep[y[near]])
-        dist.append(d[near])
-        of.append(own[x[near]])
-        at = to
+
+    def near_pairs(left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """An index row meets the rows after it: (row, row, distance) within tau, PAIRS_AT_ONCE compared at a time."""
+        many = ends[own[left]] - left - 1
+        before = np.concatenate(([0], np.cumsum(many)))
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, side="right")) - 1)
+            m = many[at:to]
+            x = np.repeat(left[at:to], m)
+            y = x + 1 + np.arange(len(x)) - np.repeat(before[at:to] - before[at], m)
+            d = np.bitwise_count(fp[x] ^ fp[y])
+            near = (d <= tau) & (rep[x] != rep[y])
+            if known is not None:
+                near[near] = known.open_pairs(x[near], y[near])
+            yield x[near], y[near], d[near]
+            at = to
+
+    def wide_pairs(s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """near_pairs of one group less those that neither a shortest forest nor the degree keeps, thinned whenever HELD_PAIRS have come."""
+        links, seen = np.zeros(e - s, dtype=np.int64), np.zeros(e - s, dtype=bool)
+        held = [none, none, np.zeros(0, dtype=np.uint8)]
+        new, count = [], 0
+
+        def thin() -> None:
+            nonlocal held, new, count
+            x, y, d = held = [np.concatenate(z) for z in zip(held, *new)]
+            few = (links[x - s] <= degree) & (links[y - s] <= degree)
+            keep = few | thin_links(x, y, d, None)
+            seen[x[~keep] - s] = seen[y[~keep] - s] = True
+            held, new, count = [z[keep] for z in held], [], 0
+
+        for block in near_pairs(s + np.flatnonzero(~probe[s:e])):
+            links += np.bincount(block[0] - s, minlength=e - s) + np.bincount(block[1] - s, minlength=e - s)
+            new.append(block)
+            count += len(block[0])
+            if count > HELD_PAIRS:
+                thin()
+        thin()
+        dropped.append(rep[s:e][seen])
+        return tuple(held)
+
+    none = np.zeros(0, dtype=np.int64)
+    a, b, dist, of, dropped = [], [], [], [], []
+
+    def put(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
+        a.append(rep[x])
+        b.append(rep[y])
+        dist.append(d)
+        of.append(own[x])
+
+    for pairs in near_pairs(np.flatnonzero(~probe & ~wide[own])):
+        put(*pairs)
     for g, s, e in zip(np.flatnonzero(wide), starts[wide], ends[wide]):
+        if degree is not None:
+            put(*wide_pairs(s, e))
+            continue
         f, where = np.unique(fp[s:e], return_index=True)
         r = rep[s:e][where]
         for i, j in spanning_forest(f, tau):
@@ -440,7 +480,6 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
             b.append(r[j])
             dist.append(np.bitwise_count(f[i] ^ f[j]))
             of.append(np.full(len(i), g))
-    none = np.zeros(0, dtype=np.int64)
     if not a:
         return none, none, none
     u, v, d, g = (np.concatenate(z) for z in (a, b, dist, of))
@@ -448,7 +487,7 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
         return none, none, none
     names, code = np.unique(np.concatenate((u, v)), return_inverse=True)
     keep = thin_links(g * len(names) + code[: len(u)], g * len(names) + code[len(u) :], d, degree)
-    return np.minimum(u, v)[keep], np.maximum(u, v)[keep], np.unique(np.concatenate((u[~keep], v[~keep])))
+    return np.minimum(u, v)[keep], np.maximum(u, v)[keep], np.unique(np.concatenate((u[~keep], v[~keep], *dropped)))
 
 
 def _verify(tau: int, degree: int | None = None, least: float | None = None):

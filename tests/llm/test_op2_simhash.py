@@ -201,3 +201,20 @@ def test_bound_on_similarity_holds():
     true = both >= 0.8 * (np.array([len(sets[i]) + len(sets[j]) for i, j in zip(x, y)]) - both)
     ok = known.open_pairs(x, y)
     assert true.any() and ok[true].all() and not ok.all()
+
+
+def test_wide_groups_keep_candidates(monkeypatch):
+    f = fingerprint_set(500, 9)
+    rep = np.arange(len(f), dtype=np.int64) + 7
+    group, probe = np.zeros(len(f), dtype=np.int64), np.arange(len(f)) >= 400
+    pairs = {(i + 7, j + 7) for i in range(400) for j in range(i + 1, len(f)) if (int(f[i]) ^ int(f[j])).bit_count() <= 5}
+    for name, value in (("GROUP_PAIRS", 10), ("PAIRS_AT_ONCE", 3000), ("HELD_PAIRS", 200)):
+        monkeypatch.setattr(sim, name, value)
+    u, v, cut = sim.thinned_groups(group, probe, rep, f, 5, 10**6)
+    assert set(zip(u.tolist(), v.tolist())) == pairs and not len(cut)
+    u, v, cut = sim.thinned_groups(group, probe, rep, f, 5, 3)
+    got, out = set(zip(u.tolist(), v.tolist())), set(cut.tolist())
+    assert got < pairs and forest(got) == forest(pairs)
+    assert all(i in out and j in out for i, j in pairs - got)  # what is left out comes back with both its ends
+    links = {x: sum(x in p for p in pairs) for p in pairs for x in p}
+    assert all(p in got for p in pairs if max(links[p[0]], links[p[1]]) <= 3)
