@@ -31,7 +31,10 @@ from strataforge.llm._common import arrow_rows, ship, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MODEL_KINDS = ("email", "phone", "secret", "iban", "ssn")
-MAX_TOKENS = 5
+#: The longest IBANs are 34 characters in groups of four.
+MAX_TOKENS = 9
+#: Characters of the account part by country, for training.
+IBAN_LENGTHS = {"NO": 11, "BE": 12, "NL": 14, "DE": 18, "GB": 18, "ES": 20, "FR": 23, "IT": 23, "PL": 24, "MT": 27, "LC": 28}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -112,7 +115,9 @@ _SHAPES = {
     "email": re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+", re.I),
     "secret": re.compile(r"(?=[^ ]*[0-9])(?=[^ ]*[A-Za-z])[A-Za-z0-9+/_-]{16,}=*"),
 }
-N_FEATURES = 24
+#: A spelled-out dot on either side of a segment, which then is part of a longer address.
+_DOT_AFTER, _DOT_BEFORE = re.compile(r"\s*(?:\(dot\)|\[dot\])", re.I), re.compile(r"(?:\(dot\)|\[dot\])\s*$", re.I)
+N_FEATURES = 25
 
 
 def entropy(s: str) -> float:
@@ -160,6 +165,7 @@ def features(text: str, start: int, end: int, length: int, before: list[str]) ->
         f[17 + i] = any(w in CUES[kind] for w in before[-2:])
     f[22] = s[:4].isalpha() and digits == 0
     f[23] = text[start - 1 : start] in "\"'=" if start else False
+    f[24] = bool(_DOT_AFTER.match(text, end, end + 16) or _DOT_BEFORE.search(text, max(0, start - 16), start))
     return f
 
 
@@ -244,11 +250,18 @@ def training_set(seed: int = 7, size: int = 240) -> list[tuple[str, list[tuple[i
     rnd = random.Random(seed)
     digit = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rnd.choice("aeioutrnsldhm") for _ in range(rnd.randint(2, 9)))
+
+    def iban() -> str:
+        country = rnd.choice(sorted(IBAN_LENGTHS))
+        head = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) if country in ("GB", "NL", "MT", "LC") else digit(4)
+        s = country + digit(2) + head + digit(IBAN_LENGTHS[country] - 4)
+        return s if rnd.random() < 0.3 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+
     make = {
         "phone": lambda: rnd.choice([f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"0{digit(2)} {digit(3)} {digit(4)}", f"{digit(3)}.{digit(3)}.{digit(4)}"]),
-        "email": lambda: rnd.choice([f"{word()} (at) {word()} (dot) com", f"{word()}[at]{word()}[dot]org", f"{word()}@{word()}.com"]),
+        "email": lambda: rnd.choice([f"{word()} (at) {word()} (dot) com", f"{word()}[at]{word()}[dot]org", f"{word()}@{word()}.com", f"{word()} (at) {word()} (dot) {word()} (dot) com", f"{word()} [at] {word()} [dot] {word()} [dot] {word()} [dot] org"]),
         "secret": lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((32, 40, 24)))) if rnd.random() < 0.7 else "".join(rnd.choice("abcdefghijABCDEFGHIJ0123456789") for _ in range(28)) + "7a",
-        "iban": lambda: rnd.choice(["DE", "FR", "ES"]) + digit(2) + "".join(f" {digit(4)}" for _ in range(3)),
+        "iban": iban,
         "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}",
     }
     cue = {k: sorted(v) for k, v in CUES.items()}
@@ -291,8 +304,11 @@ def train(rows, epochs: int = 5, rate: float = 0.3, l2: float = 1e-4) -> SpanMod
     return model
 
 
-def windows(text: str, around: int = 4):
-    """Token lists around triggers: each trigger's token with `around` tokens on either side, merged where they meet."""
+def windows(text: str, around: int = MAX_TOKENS - 1):
+    """Token lists around triggers: each trigger's token with `around` tokens on either side, merged where they meet.
+
+    So a window holds every segment of up to MAX_TOKENS tokens that has a trigger.
+    """
     m = _TRIGGER.search(text)
     while m:
         start = m.start()

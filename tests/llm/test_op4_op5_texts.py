@@ -59,6 +59,21 @@ def test_digest_of_the_query(spark, tmp_path):
     assert got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["spans"] == ""
 
 
+LONG_SPANS = [
+    ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "FR76 3000 6000 0112 3456 7890 189"), ("iban", "ES91 2100 0418 4502 0005 1332"), ("iban", "GB29 NWBK 6016 1331 9268 19"),
+    ("iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"), ("iban", "LC55 HEMM 0001 0001 0012 0012 0002 3015"), ("iban", "DE89370400440532013000"),
+    ("email", "me (at) mail (dot) example (dot) com"), ("email", "me [at] mail [dot] dept [dot] example [dot] org"),
+]
+
+
+@pytest.mark.parametrize("kind, span", LONG_SPANS)
+def test_long_spans_are_found_whole(kind, span):
+    model, cue = pii.default_model(), {"iban": "IBAN: ", "email": "write to "}[kind]
+    for before, after in (("please pay to the " + cue, " before the end of the month"), ("we had some words about " + cue, ". Then more words came here"), ("some words here ", " and so on")):
+        text = before + span + after
+        assert pii.redact(text, model) == before + f"[{kind.upper()}]" + after
+
+
 def all_segmentations(n, longest):
     if n == 0:
         yield []
