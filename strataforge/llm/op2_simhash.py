@@ -1,8 +1,8 @@
 """SimHash fingerprints and near-duplicate groups by the generalised pigeonhole principle.
 
 1. `fingerprints` (Arrow map over whole texts): XXH64 of every word shingle, bit majorities.
-2. Equal fingerprints become one row (`min` of the ids, summed up before the shuffle), so exact
-   copies never meet each other again.
+2. Equal fingerprints (where links are verified: of equal words) become one row (`min` of the ids,
+   summed up before the shuffle), so exact copies never meet each other again.
 3. Partitions of bits: co-occurrence counts of all 64 bits over all fingerprints (64 x 64
    numbers, whatever the corpus) give correlations; strongly correlated bits are grouped
    into the same partition, the partitions being of nearly equal width. Their number follows
@@ -75,14 +75,22 @@ def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
     return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = SEED) -> DataFrame:
-    """id and fp (the fingerprint as a signed long)."""
+def words_hash(text: str | None, seed: int = SEED) -> int:
+    """Of all words in order, so equal for texts of equal shingles at any width."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), seed + 1)
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = SEED, words: bool = False) -> DataFrame:
+    """id and fp (the fingerprint as a signed long), on request words (words_hash, the same way)."""
     ship(df.sparkSession)
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())] + [T.StructField("words", T.LongType())] * words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([simhash(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        texts = batch.column(1).to_pylist()
+        found = [[simhash(t, width, seed) for t in texts]] + [[words_hash(t, seed) for t in texts]] * words
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in found]], names=schema.names)
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(arrow_rows(run), schema)
 
@@ -293,7 +301,7 @@ def _probe_rows(alloc: Allocator, hot: dict[int, int], more: tuple[str, ...] = (
                         n = np.array([hot.get(x, 1) for x in k.tolist()], dtype=np.int64)
                         if (n > 1).any():
                             # probes to one salt, index rows to all: each probe meets each index row once
-                            own = (fp[r].view(np.uint64) % n.astype(np.uint64)).astype(np.int32)
+                            own = ((fp[r] ^ rep[r]).view(np.uint64) % n.astype(np.uint64)).astype(np.int32)
                             salt[:] = np.where(p, own, 0)
                             again = np.flatnonzero(~p & (n > 1))
                             times = n[again]
@@ -556,7 +564,7 @@ def candidate_links(distinct: DataFrame, tau: int, hot_rows: int = 4096, degree:
     counts = distinct.select("fp").mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
     hot = {r["key"]: -(-r["count"] // limit) for r in counts.collect()}
     rows = distinct.select("rep", "fp", *more).mapInArrow(_probe_rows(alloc, hot, more), "key long, salt int, probe boolean, rep long, fp long" + (", label long, sets binary" if more else ""))
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe", "fp").mapInArrow(_verify(tau, degree, least), "u long, v long, cut boolean")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe", "fp", "rep").mapInArrow(_verify(tau, degree, least), "u long, v long, cut boolean")
 
 
 def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -640,19 +648,23 @@ def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: st
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(fingerprints: id, fp; groups: fp, rep, component) as tables of the shared folder.
 
+    One group row a fingerprint; with min_similarity one for each fingerprint and word sequence,
+    both tables having words (their hash) too, so that different texts of equal fingerprints are verified.
+
     With min_similarity the links within tau bits are candidates, and those between texts of
     a lower Jaccard similarity of `width`-word shingles are dropped. parts: number of bit
     partitions, None for the one of the least expected cost at this number of fingerprints.
     """
     scratch = Scratch(df.sparkSession)
-    fps = scratch.keep(fingerprints(df, id_col, text_col, width), "fps")
-    distinct = scratch.keep(fps.groupBy("fp").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).cast("long").alias("rep")), "distinct")
+    keys = ["fp"] if min_similarity is None else ["fp", "words"]
+    fps = scratch.keep(fingerprints(df, id_col, text_col, width, words=len(keys) > 1), "fps")
+    distinct = scratch.keep(fps.groupBy(*keys).agg(F.coalesce(F.min("id"), F.lit(NO_ID)).cast("long").alias("rep")), "distinct")
     if min_similarity is None:
         links = hamming_links(distinct, tau, parts=parts)
     else:
         links = verified_links(distinct, df, id_col, text_col, width, tau, min_similarity, parts, scratch)
     found = connected_components(links, scratch)
-    groups = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    groups = distinct.join(found, F.col("rep") == F.col("node"), "left").select(*keys, "rep", F.coalesce("component", "rep").alias("component"))
     return fps, scratch.keep(groups, "groups")
 
 

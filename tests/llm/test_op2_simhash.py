@@ -218,3 +218,14 @@ def test_wide_groups_keep_candidates(monkeypatch):
     assert all(i in out and j in out for i, j in pairs - got)  # what is left out comes back with both its ends
     links = {x: sum(x in p for p in pairs) for p in pairs for x in p}
     assert all(p in got for p in pairs if max(links[p[0]], links[p[1]]) <= 3)
+
+
+def test_different_texts_of_equal_fingerprints(spark, monkeypatch):
+    rnd = random.Random(2)
+    base = [[f"{c}{rnd.randrange(10**6)}" for _ in range(60)] for c in "ab"]
+    changed = list(base[1])
+    changed[30] = "x"
+    df = spark.createDataFrame([(1, " ".join(base[0])), (2, " ".join(base[1])), (3, " ".join(changed)), (4, " ".join(base[1]).upper())], "doc_id long, text string")
+    monkeypatch.setattr(sim, "fingerprints", lambda *a, f=sim.fingerprints, **kw: f(*a, **kw).withColumn("fp", F.lit(5).cast("long")))
+    kept = sim.drop_near_duplicates(df, width=5, tau=10, min_similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
