@@ -97,7 +97,6 @@ def span_list(spans: list[tuple[int, int, str]]) -> str:
 
 # ---- whole-span features ------------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@=]|\((?:at|dot)\)|\[(?:at|dot)\]", re.I)
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&="
 #: Cue words that stand before a span, by the kind they speak for. Fixed values.
@@ -108,6 +107,8 @@ CUES = {
     "iban": frozenset("iban account konto cuenta compte".split()),
     "ssn": frozenset("ssn social security tax passport".split()),
 }
+_CUE = r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, frozenset().union(*CUES.values())), key=lambda w: (-len(w), w))) + r")(?![^\W_])"
+_TRIGGER = re.compile(r"[0-9@=]|\((?:at|dot)\)|\[(?:at|dot)\]|" + _CUE, re.I)
 _SHAPES = {
     "phone": re.compile(r"(?:\(?[0-9]{2,4}\)?[ .-]){1,3}[0-9]{3,4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),

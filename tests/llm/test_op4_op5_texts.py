@@ -74,6 +74,12 @@ def test_long_spans_are_found_whole(kind, span):
         assert pii.redact(text, model) == before + f"[{kind.upper()}]" + after
 
 
+def test_cue_words_start_windows():
+    for text in ("password: CorrectHorseBatteryStaple", "Authorization Bearer AbCdEfGhIjKlMnOpQrStUvWx", "the API_KEY AbCdEfGhIjKlMnOpQrStUvWx"):
+        assert [text[s:e] for tokens in pii.windows(text) for s, e in tokens] == text.split()
+    assert not list(pii.windows("monkeys recall mailboxes and contactless accountants"))
+
+
 def all_segmentations(n, longest):
     if n == 0:
         yield []
