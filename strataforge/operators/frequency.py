@@ -7,7 +7,7 @@ over distinct values, weighted by their counts, so expressions run once per dist
 
 Tables whose row count or width makes the unpivot dear take `wide_statistics` instead: one
 aggregation over the native columns with approximate distinct counts, no unpivot, and a
-shuffle of one row per task.
+shuffle of one row per task. Only their top values are counted by the unpivot, as exactly as others'.
 """
 
 from __future__ import annotations
@@ -93,14 +93,10 @@ def example_values(freq: DataFrame, n: int = 5) -> DataFrame:
     return some.groupBy("ordinal").agg(F.sort_array(F.collect_list("value")).alias("examples"))
 
 
-TRACKED = 10_000
-
-
 def wide_statistics(df: DataFrame, batch: int = 50, approx: bool = True, top: int = 0) -> DataFrame:
     """The same columns as value_statistics from native-typed aggregates, `batch` columns a pass.
 
-    With top > 0 also `top`, from a frequent-items sketch of TRACKED values: exact while a
-    column has fewer different values, and otherwise right for values that stand out.
+    With top > 0 also `top` as top_values gives it, exact, from a second pass over the frequencies.
     """
     out = None
     for at in range(0, len(df.columns), batch):
@@ -118,20 +114,17 @@ def wide_statistics(df: DataFrame, batch: int = 50, approx: bool = True, top: in
                 (F.avg(F.length(s)) if text else F.lit(None).cast("double")).alias("mean_length"), (F.max(F.length(s)).cast("long") if text else F.lit(None).cast("long")).alias("max_length"),
                 (F.count_if(filled) if text else F.lit(0).cast("long")).alias("filled_count"),
                 (maps(pattern_hits(s), F.lit(True)) if text else none).alias("pattern_counts"), (maps(type_hits(s), filled) if text else none).alias("type_counts"),
-                *([_sketched_top(s, top).alias("top")] if top else []),
             ).alias(f"s{i}"))
         row = df.agg(*aggs).select("total", F.inline(F.array(*[F.col(f"s{i}") for i in range(len(part))])))
         row = row.select("ordinal", F.col("total").alias("total_count"), *[c for c in row.columns if c not in ("ordinal", "total")])
         out = row if out is None else out.unionByName(row)
+    if top and out is not None:
+        none = F.array().cast("array<struct<value:string,cnt:bigint>>")
+        best = top_values(frequencies(df), top)
+        out = out.join(F.broadcast(best), "ordinal", "left").withColumn("top", F.coalesce("top", none))  # best: one row per column
     return out
 
 
-def _sketched_top(s: Column, n: int) -> Column:
-    found = F.filter(F.call_function("approx_top_k", s, F.lit(n), F.lit(TRACKED)), lambda x: x.item.isNotNull())
-    ordered = F.sort_array(F.transform(found, lambda x: F.struct((-x["count"]).alias("r"), x.item.alias("value"))))
-    return F.transform(ordered, lambda x: F.struct(x.value.alias("value"), (-x.r).alias("cnt")))
-
-
 def basic_statistics(df: DataFrame, approx: bool = False, batch: int = 50) -> DataFrame:
     """One row per column of df: the numbers of a column profile without patterns, types and top values."""
     spark = df.sparkSession

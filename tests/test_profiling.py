@@ -110,3 +110,11 @@ def test_sampling(spark):
     t = ProfileEngine(spark, ProfilingConfig(sample_threshold_rows=1_000)).profile_table(df.withColumn("k", F.col("id").cast("string")), "big")
     assert t.sampled and t.row_count == 10_000 and t.sampled_row_count < 1200
     assert t.column("k").distinct_count == 10_000 and t.column("k").uniqueness == 1.0  # verified on the whole table
+
+
+def test_top_values_of_many_flat_values_are_exact(spark):
+    df = spark.range(40_000).select(F.concat(F.lit("k"), F.lpad((F.col("id") % 15_000).cast("string"), 5, "0")).alias("k"), (F.col("id") % 15_000).alias("n"))
+    t = ProfileEngine(spark, ProfilingConfig(approx_distinct=True, auto_tune=False)).profile_table(df, "flat")
+    n = ProfilingConfig().max_top_values
+    assert t.column("k").top_values == tuple((f"k{i:05d}", 3) for i in range(n))
+    assert t.column("n").top_values == tuple((x, 3) for x in sorted(str(i) for i in range(10_000))[:n])
