@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = "file://" + tempfile.mkdtemp(prefix="strataforge-shared-")
@@ -61,40 +65,82 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strataforge/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder: cut lineage, survive lost executors.
 
     `keep(df, name)` writes and rereads; `drop(name)` deletes a table that no later plan reads.
+    A narrow table behind a shuffle gets FILES_PER_CORE files a core at most, not one a partition.
+    What the caller's result still reads goes when the process ends, or with `drop_all`.
     """
 
+    FILES_PER_CORE = 4
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
         ship(spark)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        (df.coalesce(self.FILES_PER_CORE * self.spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
             if path := self.paths.pop(name, None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                delete(self.spark, path)
+
+    def drop_all(self) -> None:
+        self.drop(*list(self.paths))
+
+
+#: Bytes of text that an Arrow function is given at once (one row at least).
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive slices of about `limit` bytes of strings; a longer row is a slice of its own."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def arrow_rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]) -> Callable:
-    """Wrap a batch function for mapInArrow."""
+    """Wrap a batch function for mapInArrow: it is called on slices of bounded size, and memory is given back after each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+            for part in slices(batch):
+                if (out := fn(part)) is None:
+                    continue
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
                 else:
                     yield out
+                del out, part
+            del batch
+            give_back()
 
     return run
 

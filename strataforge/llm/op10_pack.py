@@ -9,9 +9,10 @@
    two unpacked documents fit the expanded gap more tightly they replace it. As the choice
    depends only on which lengths are left, a bin is repeated as often as its lengths last, so
    the number of steps is bounded by the histogram too. Nothing is sampled or capped.
-3. `pack`: every piece gets its rank among the pieces of its length (ranks within hash buckets,
-   plus the counts of the buckets before), and the plan turns (length, rank) into a sequence
-   and an offset. No bin is built in one task.
+3. `pack`: every piece gets its rank among the pieces of its length (ranks within hash buckets of
+   about BUCKET_ROWS, plus the counts of the buckets before), and the plan turns (length, rank) into a
+   sequence and an offset. No bin is built in one task; a length has one bucket per
+   BUCKET_ROWS pieces (more pieces from some 10^9 on).
 
 Defined cases: a null text counts as empty, and gives one piece with the end id only; repeated
 rows are packed each; ties are ordered by id and piece, and equal rows by nothing, as they are
@@ -23,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,15 +34,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataforge.llm._common import Scratch, arrow_rows, table
+from strataforge.llm._common import Scratch, arrow_rows, give_back, ship, table
 
 LENGTH = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-_WIDE_SPACE = re.compile(r"\s\s")
+#: Characters that a vocabulary's core takes at a time, about.
+CHUNK = 1 << 16
+#: The white space of Unicode, as the pre-tokenizer's pattern has it. Fixed value.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WIDE_SPACE = re.compile(f"[{_SPACE}]{{2,}}(?=[^{_SPACE}])")
+_LONE_BLANK = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 #: The byte-level pre-tokenizer's pattern. Fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same where no two white space characters meet: the look-ahead is then never needed.
+#: The same for text that `chunks` has cut: the look-ahead is then never needed.
 SPLIT_NARROW = SPLIT.replace(r"|\s+(?!\S)", "")
 
 
@@ -59,44 +66,79 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+def parts_at_added(text: str, added: re.Pattern | None) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is an added token) in order."""
+    at = 0
+    for m in added.finditer(text) if added else ():
+        yield text[at : m.start()], False
+        yield m[0], True
+        at = m.end()
+    yield text[at:], False
+
+
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """The text cut where the pre-tokenizer cuts anyway, whatever stands around.
+
+    That is before the last of several white space characters in front of another character, and,
+    from `size` characters on, before a lone blank between two others; a text without such places is one chunk.
+    """
+    at = 0
+    for m in _WIDE_SPACE.finditer(text):
+        end = m.end() - 1
+        yield from blank_cuts(text, at, end, size)
+        at = end
+    yield from blank_cuts(text, at, len(text), size)
+
+
+def blank_cuts(text: str, at: int, end: int, size: int) -> Iterator[str]:
+    while end - at > size:
+        m = _LONE_BLANK.search(text, at + size, end)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    if end > at:
+        yield text[at:end]
+
+
+@lru_cache(maxsize=1)
 def encoder(name: str):
-    """text -> list of ids, as the tokenizers library gives for this file with add_special_tokens=False.
+    """text -> array of ids, as the tokenizers library gives for this file with add_special_tokens=False.
 
-    A byte-level vocabulary whose merges are in the order of its ids is run by tiktoken's
-    core, which gives the same ids at about a third of the cost; any other file, and texts that hold an added
-    token's string, go through the tokenizers library.
+    A byte-level vocabulary whose merges are in the order of its ids is run by one core of tiktoken,
+    which gives the same ids at about a third of the cost; added tokens are looked up between
+    its parts, and long texts go through it in chunks. Any other file goes through the tokenizers library.
     """
     path = tokenizer_path(name)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added = [t["content"] for t in spec.get("added_tokens", [])]
-
-    @lru_cache(maxsize=1)
-    def library():
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(path)
-
-    def plain(text: str) -> list[int]:
-        return library().encode(text, add_special_tokens=False).ids
-
-    ranks = byte_ranks(spec, added)
+    tokens = spec.get("added_tokens", [])
+    plain = not any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    added = {t["content"]: t["id"] for t in tokens}
+    ranks = byte_ranks(spec, list(added)) if plain else None
+    del spec
     try:
         import tiktoken
     except ImportError:
         ranks = None
     if ranks is None:
-        return plain
-
-    @lru_cache(maxsize=2)
-    def core(pattern: str):  # made where needed: hardly any text needs the second
-        return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        from tokenizers import Tokenizer
 
-    def encode(text: str) -> list[int]:
-        if any(a in text for a in added):
-            return plain(text)
-        return core(SPLIT if _WIDE_SPACE.search(text) else SPLIT_NARROW).encode_ordinary(text)
+        library = Tokenizer.from_file(path)
+        return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    find = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+    core = tiktoken.Encoding(name, pat_str=SPLIT_NARROW, mergeable_ranks=ranks, special_tokens={})
+    del ranks
+    give_back()
+
+    def encode(text: str) -> np.ndarray:
+        out = []
+        for part, special in parts_at_added(text, find):
+            if special:
+                out.append([added[part]])
+            else:
+                out += [np.array(core.encode_ordinary(c), dtype="<u4") for c in chunks(part)]
+        return np.concatenate(out).astype("<u4") if out else np.zeros(0, dtype="<u4")
 
     return encode
 
@@ -124,29 +166,31 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 and, on request, the ids."""
-    fields = [T.StructField("doc_id", df.schema[id_col].dataType), *(T.StructField(n, k) for n, k in PIECE)]
+    """One row per piece: id, row_id (tells rows of one id apart), piece, start, length, ids_crc32 and, on request, the ids."""
+    fields = [T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("row_id", T.LongType()), *(T.StructField(n, k) for n, k in PIECE)]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType(fields)
+    ship(df.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(tokenizer)
         at, cols, tokens = [], [[], [], [], []], []
-        for i, t in enumerate(batch.column(1)):
-            ids = np.array([*encode(t.as_py() or ""), end_id], dtype="<u4")
+        for i, t in enumerate(batch.column(2)):
+            ids = np.append(encode(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
             for k, (s, n) in enumerate(cut(len(ids), length)):
                 at.append(i)
                 for c, v in zip(cols, (k, s, n, zlib.crc32(ids[s : s + n].tobytes()))):
                     c.append(v)
                 if with_ids:
                     tokens.append(ids[s : s + n].astype(np.int32))
-        arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])]
+        take = pa.array(at, pa.int64())
+        arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])]
         if with_ids:
             arrays.append(pa.array(tokens, pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(arrow_rows(run), schema)
+    return df.select(F.col(id_col), F.monotonically_increasing_id(), F.col(text_col).cast("string")).mapInArrow(arrow_rows(run), schema)
 
 
 def plan_packing(counts: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -156,9 +200,8 @@ def plan_packing(counts: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarr
     left[0] = 0
     used = np.zeros_like(left)
     slots, sequence = [], 0
-    below = np.zeros(length + 1, dtype=np.int64)  # largest length left that is at most i; 0: none
 
-    def refresh(n: np.ndarray) -> np.ndarray:
+    def refresh(n: np.ndarray) -> np.ndarray:  # largest length left that is at most i; 0: none
         return np.maximum.accumulate(np.where(n > 0, np.arange(length + 1), 0))
 
     while True:
@@ -199,23 +242,32 @@ def plan_packing(counts: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarr
     return {"item": table_[:, 0], "first": table_[:, 1], "last": table_[:, 2], "sequence": table_[:, 3], "offset": table_[:, 4]}
 
 
-def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+#: Pieces of a length that are ranked together, so many at least and more where there would be over CELLS buckets.
+BUCKET_ROWS, CELLS = 1000, 1 << 22
+
+
+def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """pieces (doc_id, row_id, piece, start, length, ids_crc32, maybe ids) with sequence_id and offset.
+
+    Ids, where there are any, wait in the written table and are joined to the places at last, as the
+    streamed side: only narrow rows are ranked.
+    """
+    names = pieces.columns
     pieces = scratch.keep(pieces, "pieces")
-    n = pieces.count()
-    buckets = max(64, -(-n // 20_000))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    cells = scratch.keep(keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")), "cells")
     counts = np.zeros(length + 1, dtype=np.int64)
-    for row in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most `length` rows
+    for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `length` rows
         counts[row["length"]] = row["n"]
     slots = plan_packing(counts, length)
+    # a length has as many buckets as its own number of pieces asks for
+    bucket_rows = max(bucket_rows, int(counts.sum()) // CELLS)
+    buckets = F.array(*[F.lit(int(max(1, -(-n // bucket_rows)))) for n in counts])[F.col("length").cast("int")]
+    narrow = ["doc_id", "row_id", *(x for x, _ in PIECE)]
+    keyed = pieces.select(*narrow, F.pmod(F.xxhash64("doc_id", "row_id", "piece"), buckets).alias("_b"))
+    cells = keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    offsets = cells.withColumn("_before", before).drop("_n")
-    rank = F.row_number().over(W.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = keyed.withColumn("_r", rank).join(offsets, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_before"))
-    names = ["doc_id", *(x for x, _ in PIECE)]
-    ranked = ranked.select(*names, "_r")
+    rank = F.row_number().over(W.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32", "row_id")) - 1
+    ranked = keyed.withColumn("_r", rank).join(cells.withColumn("_before", before).drop("_n"), ["length", "_b"])
+    ranked = ranked.select(*narrow, (F.col("_r") + F.col("_before")).alias("_r"))
     schema = T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     big = np.int64(1) << 42
     keys = slots["item"] * big + slots["first"]
@@ -227,13 +279,17 @@ def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame
             [*batch.columns[:-1], pa.array(slots["sequence"][k] + r - slots["first"][k]), pa.array(slots["offset"][k])], names=schema.names
         )
 
-    return ranked.mapInArrow(arrow_rows(place), schema)
+    placed = ranked.mapInArrow(arrow_rows(place), schema)
+    if "ids" not in names:
+        return placed
+    places = placed.select(F.col("row_id").alias("_row"), F.col("piece").alias("_piece"), "sequence_id", "offset").hint("shuffle_hash")
+    return pieces.join(places, (F.col("row_id") == F.col("_row")) & (F.col("piece") == F.col("_piece"))).select(*narrow, "sequence_id", "offset", "ids")
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
-    """Pieces with their places. The ids themselves: tokenize(..., with_ids=True), by doc_id and piece."""
-    return pack(tokenize(df, id_col, text_col, tokenizer, end_id, length), Scratch(df.sparkSession), length)
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+    """Pieces with their places, on request with their ids, from which the sequences can be built."""
+    return pack(tokenize(df, id_col, text_col, tokenizer, end_id, length, with_ids), Scratch(df.sparkSession), length)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents")).drop("row_id")

@@ -105,7 +105,64 @@ def test_encoder_is_the_library(library):
     cases = ["", " ", "a  b", "  lead", "trail  ", "x\n\n y", "it's we'll", "日本語 é\u00a0z", "<|endoftext|> a", "\t\t\tend", "1234 5678", "a\r\nb", "👍🏽 ok", "\ufeffx"]
     cases += ["".join(rnd.choice("ab ’'é1\n\t .,") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
     for t in cases:
-        assert encode(t) == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_chunks_do_not_change_ids(library):
+    """Cut into chunks of a few characters, and at white space and added tokens, a text has the same ids."""
+    rnd = random.Random(8)
+    core = pk.encoder(pk.TOKENIZER)
+    marks = ["a", "b1", "'s", " ", "  ", "\n", "\n\n ", "\u00a0", "\u3000 ", "\x1c", "é", "日本", ".", "!!", "\t", "<|endoftext|>", "don't"]
+    for _ in range(500):
+        t = "".join(rnd.choice(marks) for _ in range(rnd.randint(0, 40)))
+        parts = list(pk.chunks(t, 3))
+        assert "".join(parts) == t
+        plain = t.replace("<|endoftext|>", "")
+        parts = list(pk.chunks(plain, 3))
+        assert [i for c in parts for i in library.encode(c, add_special_tokens=False).ids] == library.encode(plain, add_special_tokens=False).ids, repr(plain)
+        assert core(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    long = "word " * 200_000 + "x" * 5000 + "<|endoftext|>" * 3
+    assert core(long).tolist() == library.encode(long, add_special_tokens=False).ids
+
+
+def best_two_fit(lengths, length):
+    """Bins one after another on a plain list of lengths."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        took, gap = [], length
+        for x in list(left):
+            if x <= gap:
+                took.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(took) > 1:
+            small = took[-1]
+            pairs = [(a + b, max(a, b), min(a, b)) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= gap + small]
+            # the small one goes back before the pair is chosen, but can't be in a pair that beats it alone
+            if pairs:
+                best = max(p[0] for p in pairs)
+                took.pop()
+                left.append(small)
+                pick = max((p for p in pairs if p[0] == best), key=lambda p: p[1])
+                took += pick[1:]
+                left.remove(pick[1])
+                left.remove(pick[2])
+                left.sort(reverse=True)
+        bins.append(sorted(took))
+    return sorted(bins)
+
+
+def test_plan_is_best_two_fit():
+    rng = np.random.default_rng(9)
+    for length in (8, 20, 50):
+        for _ in range(60):
+            lengths = rng.integers(1, length + 1, rng.integers(1, 40)).tolist()
+            counts = np.bincount(lengths, minlength=length + 1)
+            slots, bins = pk.plan_packing(counts, length), {}
+            for item, a, b, seq in zip(*(slots[k].tolist() for k in ("item", "first", "last", "sequence"))):
+                for r in range(b - a):
+                    bins.setdefault(seq + r, []).append(item)
+            assert sorted(map(sorted, bins.values())) == best_two_fit(lengths, length)
 
 
 def check_plan(counts, length):
@@ -170,11 +227,12 @@ def test_packing(spark, library):
         assert at <= 1024
     assert len(bins) <= -(-sum(w[3] for w in want) // 1024) + 2
     assert pk.pack_documents(df.limit(0)).count() == 0
-    ids = pk.tokenize(df, with_ids=True).where("doc_id = 902 AND piece = 0").first()
-    assert zlib.crc32(np.array(ids["ids"], dtype="<u4").tobytes()) == ids["ids_crc32"]
+    full = pk.pack_documents(df, with_ids=True).collect()
+    assert len(full) == len(got) and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in full)
+    assert len({r["row_id"] for r in full if r["doc_id"] == 5}) == 2 and len({(r["sequence_id"], r["offset"]) for r in full}) == len(full)
 
 
 def test_small_buckets_rank_alike(spark):
-    pieces = spark.createDataFrame([(i, 0, 0, 1 + i % 7, i) for i in range(500)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = pk.pack(pieces, Scratch(spark), 16).collect()
+    pieces = spark.createDataFrame([(i, i, 0, 0, 1 + i % 7, i) for i in range(500)], "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long")
+    got = pk.pack(pieces, Scratch(spark), 16, bucket_rows=9).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 500 and max(r["offset"] + r["length"] for r in got) <= 16
