@@ -1,30 +1,33 @@
 """SimHash fingerprints and near-duplicate groups by the generalised pigeonhole principle.
 
 1. `fingerprints` (Arrow map over whole texts): XXH64 of every word shingle, bit majorities.
-2. Equal fingerprints (where links are verified: of equal words) become one row (`min` of the ids,
-   summed up before the shuffle), so exact copies never meet each other again.
-3. Partitions of bits: co-occurrence counts of all 64 bits over all fingerprints (64 x 64
+2. Equal fingerprints (where links are verified: equal word sequences) become one node, standing for
+   the row of the least (id, content), so exact copies never meet each other again.
+3. Partitions of bits: co-occurrence counts of the 64 bits of a word over all fingerprints (64 x 64
    numbers, whatever the corpus) give correlations; strongly correlated bits are grouped
-   into the same partition, the partitions being of nearly equal width. Their number follows
-   from the number of fingerprints by a cost estimate.
+   into the same partition, the partitions being of nearly equal width. For 64-bit fingerprints their
+   number follows from the number of fingerprints by a cost estimate.
 4. Thresholds: two fingerprints within `tau` bits agree in some partition i within t_i bits when
    the t_i >= -1 sum up to tau - m + 1. For every fingerprint a dynamic program chooses the
    t_i that minimise its probes and the candidates expected from histograms of the partitions'
    bytes; a partition whose value is frequent is then skipped (-1) or probed exactly, and others
    are probed wider.
-5. Probe and verify: fingerprints and probes meet by (partition, value), and every index row is
-   compared with the group's index rows and probes. What is sent on is a spanning forest of the
-   links, the shortest first, in place of all pairs; very large groups find theirs by
-   breadth-first search over the rows not yet reached, or, where links are only candidates for
-   verification, compare their pairs in blocks. A value held by many fingerprints is split:
-   its probes are dealt over salts and its index rows copied to each.
-6. Connected components of the links; the smallest id is the group's.
-
-Links are exact: the thresholds cover every pair within tau bits, and each candidate is verified.
+5. Probe and verify: fingerprints and probes meet by (partition, value). What is sent on is a
+   spanning forest of the links, the shortest first, in place of all pairs; where links are only
+   candidates for verification, those left out are offered again in further rounds until none joins
+   two groups. A value held by many fingerprints is dealt into blocks, and pairs of blocks go to
+   different tasks, so that each pair of rows meets in one of them.
+6. Connected components of the links; the row of the smallest (id, content) stands for the group.
+
+Without verification links are exact: the thresholds cover every pair within tau bits, and each
+candidate is compared. With it (`min_similarity`) the fingerprint is wider (WIDE_WORDS words of 64 bits, of
+the set of shingles), so that many partitions of 16 bits take part and few probes find nearly all
+pairs of the similarity asked for; each candidate's shingle sets are then compared exactly.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links as any
-other; texts of fewer words than a shingle are hashed whole; repeated rows are one group; a null
-id counts as larger than any other; an empty table gives an empty table.
+other; texts of fewer words than a shingle are hashed whole; repeated rows are one group, of which one
+stays; rows that share an id, or have none, are told apart by their content; a null id counts as larger
+than any other; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,10 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataforge.llm._common import Scratch, arrow_rows, ship, table
 from strataforge.llm.components import connected_components
@@ -49,50 +51,112 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.005
 #: Candidates for verification, in the first round: of texts with more links than this, those that a
 #: shortest forest needs. What is left out is offered again in rounds, each with DEGREE_GROWTH times as many.
 CANDIDATE_DEGREE, DEGREE_GROWTH = 16, 4
+#: Rows of one value that are compared in one piece; hot values are dealt into blocks of so many. At most
+#: HOT_VALUES hot values reach the driver: beyond 10^7 texts blocks grow, and more bits a partition are due.
+BLOCK_ROWS, HOT_VALUES = 1 << 14, 1 << 16
+#: Fingerprints for verified links: words of 64 bits (4 partitions of 16 bits each), the largest distance of
+#: the word that is compared before texts are, and the largest threshold. Texts at a similarity of 0.8 differ in 15 %
+#: of the bits, so two of them agree in one of 40 partitions in 95 of 100 cases (measured: README), and
+#: differ in over 20 of 64 bits in one of 10,000.
+WIDE_WORDS, WORD_REACH, MOST = 10, 20, 2
 #: Bits of a shingle set's parity map, for an upper bound on the overlap of two sets.
 PARITY_BITS = 1024
 
 
-def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
+def word_list(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence where it is shorter; none without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(line, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -width] + 1))
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())]
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        h = np.array(hashes[i : i + (1 << 14)], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint64)
-    return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+        return np.array([digest(line, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -width] + 1))
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), dtype=np.uint64, count=len(starts))
+
+
+#: Bits of each byte value, lowest first.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
+
+
+def majority(h: np.ndarray, n_words: int = 1) -> np.ndarray:
+    """The fingerprint of hashes h as n_words numbers of 64 bits; beyond the first from hashes mixed anew."""
+    counts = np.zeros((8 * n_words, 8), dtype=np.int64)
+    place = 256 * np.arange(8 * n_words)
+    for at in range(0, len(h), 1 << 12):
+        x = h[at : at + (1 << 12), None]
+        if n_words > 1:
+            x = np.concatenate([x, *[mixed(x, k) for k in range(1, n_words)]], axis=1)
+        of_bytes = np.bincount((np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1) + place).reshape(-1), minlength=256 * 8 * n_words)
+        counts += of_bytes.reshape(-1, 256) @ _BITS
+    return np.packbits((2 * counts > len(h)).astype(np.uint8), axis=1, bitorder="little").reshape(-1).view("<u8")
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th other hash of the same shingles."""
+    x = h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
+    return int(majority(shingle_hashes(word_list(text), width, seed))[0])
 
 
 def words_hash(text: str | None, seed: int = SEED) -> int:
     """Of all words in order, so equal for texts of equal shingles at any width."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), seed + 1)
+    return xxhash.xxh64_intdigest(b" ".join(word_list(text)), seed + 1)
+
+
+def row_key(df: DataFrame, id_col: str) -> list[Column]:
+    """id (null: NO_ID, the largest) and 128 bits of a row's content: rows of equal keys are equal.
+
+    Columns with maps, which have no order, are left out of the content.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.lit(1), *plain).alias("h1"), F.xxhash64(F.lit(2), *plain).alias("h2")]
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = SEED, words: bool = False) -> DataFrame:
-    """id and fp (the fingerprint as a signed long), on request words (words_hash, the same way)."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = SEED, n_words: int = 1) -> DataFrame:
+    """id, h1, h2 (row_key), fp: a signed long, and beyond one word of 64 bits all words in `wide` (of different shingles) and words (words_hash)."""
     ship(df.sparkSession)
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())] + [T.StructField("words", T.LongType())] * words)
+    schema = "id long, h1 long, h2 long, fp long" + ", wide binary, words long" * (n_words > 1)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        found = [[simhash(t, width, seed) for t in texts]] + [[words_hash(t, seed) for t in texts]] * words
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in found]], names=schema.names)
-
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(arrow_rows(run), schema)
+        cols: list[list] = [[] for _ in names[3:]]
+        for t in batch.column(3):
+            words = word_list(t.as_py())
+            h = shingle_hashes(words, width, seed)
+            if n_words > 1:
+                f = majority(np.unique(h), n_words)
+                cols[1].append(f.tobytes())
+                cols[2].append(words_hash(t.as_py(), seed))
+            else:
+                f = majority(h)
+            cols[0].append(int(f[0]))
+        longs = lambda c: pa.array(np.array(c, dtype=np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], longs(cols[0]), *([pa.array(cols[1], pa.binary()), longs(cols[2])] if n_words > 1 else [])], names=names)
+
+    return df.select(*row_key(df, id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(arrow_rows(run), schema)
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    """[row, word] of a column of longs or of binaries of equal lengths."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy().view(np.uint64).reshape(-1, 1)
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, dtype="<u8").reshape(len(column), -1)
 
 
 # ---- partitions and thresholds ------------------------------------------------------------
@@ -102,26 +166,33 @@ def bits_of(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """(number of fingerprints, co-occurrence counts [64, 64]); one row of sums per task, then one of all."""
+def bit_statistics(distinct: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
+    """(number of fingerprints, co-occurrence counts [word, 64, 64]); one row of sums per task, then one of all."""
 
     def run(batches):
-        n, co = 0, np.zeros((64, 64))
+        n, co = 0, None
         for batch in batches:
-            x = bits_of(batch.column(0).to_numpy()).astype(np.float32)
-            n += len(x)
-            co += x.T @ x
-        k = np.arange(4096)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(co.reshape(-1), n).astype(np.int64))], names=["k", "c"])
-
-    rows = distinct.select("fp").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # 4097 rows
-    co, n = np.zeros(4096), 0
+            f = words_of(batch.column(0))
+            if co is None:
+                co = np.zeros((f.shape[1], 64, 64))
+            for k in range(f.shape[1]):
+                x = bits_of(f[:, k]).astype(np.float32)
+                co[k] += x.T @ x
+            n += len(f)
+        if co is not None:
+            k = np.arange(co.size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(co.reshape(-1), n).astype(np.int64))], names=["k", "c"])
+
+    rows = distinct.select(column).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # 4096 rows a word
+    if not rows:
+        return 0, np.zeros((1, 64, 64))
+    co, n = np.zeros(len(rows) - 1), 0
     for r in rows:
         if r["k"] < 0:
             n = r["c"]
         else:
             co[r["k"]] = r["c"]
-    return n, co.reshape(64, 64)
+    return n, co.reshape(-1, 64, 64)
 
 
 def ball(width: int, radius: int) -> int:
@@ -163,13 +234,13 @@ def group_bits(n: int, co: np.ndarray, m: int) -> list[list[int]]:
 
 
 def part_values(fp: np.ndarray, parts: list[list[int]]) -> list[np.ndarray]:
-    """The bits of each partition, packed into an integer."""
-    u = fp.astype(np.int64).view(np.uint64)
+    """The bits of each partition, packed into an integer; bit b is bit b % 64 of word b // 64."""
+    u = fp.view(np.uint64).reshape(len(fp), -1)
     out = []
     for part in parts:
         v = np.zeros(len(u), dtype=np.uint64)
         for k, b in enumerate(part):
-            v |= ((u >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+            v |= ((u[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(k)
         out.append(v)
     return out
 
@@ -179,78 +250,76 @@ def chunks_of(parts: list[list[int]]) -> list[tuple[int, int, int]]:
     return [(i, k, min(8, len(p) - k)) for i, p in enumerate(parts) for k in range(0, len(p), 8)]
 
 
-def histograms(distinct: DataFrame, parts: list[list[int]]) -> list[np.ndarray]:
+def histograms(distinct: DataFrame, parts: list[list[int]], column: str = "fp") -> list[np.ndarray]:
     """For each chunk the number of fingerprints at each of its (at most 256) values."""
     chunks = chunks_of(parts)
 
     def run(batches):
         held = [np.zeros(256, dtype=np.int64) for _ in chunks]
         for batch in batches:
-            values = part_values(batch.column(0).to_numpy(), parts)
+            values = part_values(words_of(batch.column(0)), parts)
             for h, (i, low, w) in zip(held, chunks):
                 h += np.bincount(((values[i] >> np.uint64(low)) & np.uint64((1 << w) - 1)).astype(np.int64), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256 * len(chunks))), pa.array(np.concatenate(held))], names=["k", "c"])
 
     out = np.zeros(256 * len(chunks), dtype=np.int64)
-    for r in distinct.select("fp").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+    for r in distinct.select(column).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
         out[r["k"]] = r["c"]
     return list(out.reshape(-1, 256))
 
 
 class Allocator:
-    """Thresholds of each fingerprint by dynamic programming on estimated candidates."""
+    """Thresholds of each fingerprint by dynamic programming on estimated candidates; none is over `most`."""
 
-    def __init__(self, n: int, parts: list[list[int]], hist: list[np.ndarray], tau: int = TAU):
+    def __init__(self, n: int, parts: list[list[int]], hist: list[np.ndarray], tau: int = TAU, most: int | None = None):
         self.parts, self.tau, self.n = parts, tau, n
+        self.most = tau if most is None else min(most, tau)
+        if len(parts) * (self.most + 1) < tau + 1:
+            raise ValueError("the partitions can't share out tau")
         distance = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :])
         self.shares = []
         for (i, low, w), h in zip(chunks_of(parts), hist):
-            near = np.stack([((distance == e) * h[None, :]).sum(axis=1) for e in range(tau + 1)], axis=1) / max(n, 1)
+            near = np.stack([((distance == e) * h[None, :]).sum(axis=1) for e in range(self.most + 1)], axis=1) / max(n, 1)
             self.shares.append((i, low, w, near))  # near[value, e]: share of fingerprints at distance e
-        m = len(parts)
-        self.top = max(0, tau - m + 1 + (m - 1))  # no threshold needs more
 
     def candidates(self, values: list[np.ndarray]) -> np.ndarray:
-        """[row, partition, t]: expected fingerprints within t of the row's value, t = 0..tau; chunks count as independent."""
-        rows = len(values[0])
-        out = np.zeros((rows, len(self.parts), self.tau + 1))
+        """[row, partition, t]: expected fingerprints within t of the row's value, t = 0..most; chunks count as independent."""
+        out = np.zeros((len(values[0]), len(self.parts), self.most + 1))
         out[:, :, 0] = 1.0
         for i, low, w, near in self.shares:
             v = ((values[i] >> np.uint64(low)) & np.uint64((1 << w) - 1)).astype(np.int64)
             d, old = near[v], out[:, i].copy()
             new = np.zeros_like(old)
-            for e in range(self.tau + 1):
-                new[:, e:] += d[:, e : e + 1] * old[:, : self.tau + 1 - e]
+            for e in range(self.most + 1):
+                new[:, e:] += d[:, e : e + 1] * old[:, : self.most + 1 - e]
             out[:, i] = new
         return np.cumsum(out, axis=2) * self.n
 
     def allocate(self, values: list[np.ndarray]) -> np.ndarray:
         """[row, partition]: thresholds, each at least -1, with sum tau - m + 1."""
-        m, tau = len(self.parts), self.tau
-        rows = len(values[0])
+        m, rows = len(self.parts), len(values[0])
         found = self.candidates(values)
-        cost = np.zeros((rows, m, tau + 2))  # column t + 1
+        cost = np.zeros((rows, m, self.most + 2))  # column t + 1
         for i, part in enumerate(self.parts):
-            for t in range(tau + 1):
+            for t in range(self.most + 1):
                 cost[:, i, t + 1] = PROBE_COST * ball(len(part), t) + CANDIDATE_COST * found[:, i, t]
-        budget = tau + 1  # the shifted thresholds t + 1 >= 0 sum up to tau - m + 1 + m
+        budget = self.tau + 1  # the shifted thresholds t + 1 >= 0 sum up to tau - m + 1 + m
         best = np.full((rows, budget + 1), np.inf)
         best[:, 0] = 0.0
         pick = np.zeros((m, rows, budget + 1), dtype=np.int8)
         for i in range(m):
             new = np.full_like(best, np.inf)
-            for s in range(budget + 1):
-                for k in range(s + 1):
-                    v = best[:, s - k] + cost[:, i, k]
-                    better = v < new[:, s]
-                    new[better, s] = v[better]
-                    pick[i, better, s] = k
+            for k in range(min(self.most + 1, budget) + 1):
+                v = best[:, : budget + 1 - k] + cost[:, i, k : k + 1]
+                better = v < new[:, k:]
+                new[:, k:][better] = v[better]
+                pick[i, :, k:][better] = k
             best = new
         out = np.zeros((rows, m), dtype=np.int64)
         s = np.full(rows, budget)
         at = np.arange(rows)
         for i in range(m - 1, -1, -1):
-            k = pick[i, at, s]
+            k = pick[i, at, s].astype(np.int64)
             out[:, i] = k - 1
             s = s - k
         return out
@@ -269,50 +338,59 @@ def flips(width: int, radius: int) -> np.ndarray:
 # ---- probing ------------------------------------------------------------------------------
 
 
+#: Rows of a bucket: index rows that look for others, index rows that are only found (threshold -1), probes.
+SEEK, STAY, PROBE = 0, 1, 2
+
+
 def _probe_rows(alloc: Allocator, hot: dict[int, int], more: tuple[str, ...] = ()):
-    """(rep, fp, *more) -> (key, salt, probe, rep, fp, *more): index rows in every partition, probes within its threshold."""
+    """(rep, fingerprint, *more) -> (key, cell, kind, block, rep, fp, *more): index rows in every partition, probes within its threshold.
+
+    Of a fingerprint of several words the row carries one that the partition is not of. A value of
+    many fingerprints has several blocks, among which its rows are dealt; each pair of blocks is a
+    cell, where only rows of different blocks meet if it has two.
+    """
     parts = alloc.parts
-    masks = {(len(p), t): flips(len(p), t) for p in parts for t in range(1, alloc.tau + 1) if ball(len(p), t) < 1 << 20}
+    masks = {(len(p), t): flips(len(p), t) for p in parts for t in range(1, alloc.most + 1) if ball(len(p), t) < 1 << 20}
+    names = ["key", "cell", "kind", "block", "rep", "fp", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
-                batch = whole.slice(lo, 2048)
-                rep, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                values = part_values(fp, parts)
-                limit = alloc.allocate(values)
-                row = np.arange(len(fp))
-                for i, v in enumerate(values):
-                    base = np.int64(i) << np.int64(56)
-                    # an index row serves as the exact probe too
-                    keys, rows, probes = [v.astype(np.int64) | base], [row], [np.zeros(len(row), dtype=bool)]
-                    for t in np.unique(limit[:, i]):
-                        if t >= 1:
-                            who = row[limit[:, i] == t]
-                            mask = masks.get((len(parts[i]), int(t)))
-                            if mask is None:
-                                mask = flips(len(parts[i]), int(t))
-                            keys.append(((v[who][:, None] ^ mask[None, :]).reshape(-1)).astype(np.int64) | base)
-                            rows.append(np.repeat(who, len(mask)))
-                            probes.append(np.ones(len(who) * len(mask), dtype=bool))
-                    k, r, p = np.concatenate(keys), np.concatenate(rows), np.concatenate(probes)
-                    salt = np.zeros(len(k), dtype=np.int32)
-                    if hot:
-                        n = np.array([hot.get(x, 1) for x in k.tolist()], dtype=np.int64)
-                        if (n > 1).any():
-                            # probes to one salt, index rows to all: each probe meets each index row once
-                            own = ((fp[r] ^ rep[r]).view(np.uint64) % n.astype(np.uint64)).astype(np.int32)
-                            salt[:] = np.where(p, own, 0)
-                            again = np.flatnonzero(~p & (n > 1))
-                            times = n[again]
-                            src = np.repeat(again, times)
-                            each = np.arange(len(src)) - np.repeat(np.cumsum(times) - times, times)
-                            once = np.flatnonzero(p | (n == 1))
-                            k, r, p = np.concatenate((k[once], k[src])), np.concatenate((r[once], r[src])), np.concatenate((p[once], p[src]))
-                            salt = np.concatenate((salt[once], each.astype(np.int32)))
-                    for at in range(0, len(k), 50_000):
-                        cut = slice(at, at + 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(salt[cut]), pa.array(p[cut]), pa.array(rep[r[cut]]), pa.array(fp[r[cut]]), *[batch.column(c).take(pa.array(r[cut])) for c in range(2, 2 + len(more))]], names=["key", "salt", "probe", "rep", "fp", *more])
+                yield from of(whole.slice(lo, 2048))
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rep, fp = batch.column(0).to_numpy(), words_of(batch.column(1))
+        values = part_values(fp, parts)
+        limit = alloc.allocate(values)
+        row = np.arange(len(fp))
+        for i, v in enumerate(values):
+            base = np.int64(i) << np.int64(56)
+            # an index row serves as the exact probe too
+            keys, rows, kinds = [v.astype(np.int64) | base], [row], [np.where(limit[:, i] < 0, STAY, SEEK).astype(np.int8)]
+            for t in np.unique(limit[:, i]):
+                if t >= 1:
+                    who = row[limit[:, i] == t]
+                    mask = masks.get((len(parts[i]), int(t)))
+                    if mask is None:
+                        mask = flips(len(parts[i]), int(t))
+                    keys.append(((v[who][:, None] ^ mask[None, :]).reshape(-1)).astype(np.int64) | base)
+                    rows.append(np.repeat(who, len(mask)))
+                    kinds.append(np.full(len(who) * len(mask), PROBE, dtype=np.int8))
+            k, r, kind = np.concatenate(keys), np.concatenate(rows), np.concatenate(kinds)
+            check = fp[:, (parts[i][0] // 64 + 1) % fp.shape[1]].view(np.int64)
+            block, cell = np.zeros(len(k), dtype=np.int32), np.zeros(len(k), dtype=np.int64)
+            if hot:
+                n = np.array([hot.get(x, 1) for x in k.tolist()], dtype=np.int64)
+                if (n > 1).any():
+                    own = ((mixed(rep[r].view(np.uint64), 1) >> np.uint64(11)) % n.astype(np.uint64)).astype(np.int64)
+                    src = np.repeat(np.arange(len(k)), n)
+                    other = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
+                    own = own[src]
+                    k, r, kind, block = k[src], r[src], kind[src], own.astype(np.int32)
+                    cell = np.minimum(own, other) << np.int64(32) | np.maximum(own, other)
+            for at in range(0, len(k), 50_000):
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (k, cell, kind, block)] + [pa.array(rep[r[cut]]), pa.array(check[r[cut]]), *[batch.column(c).take(pa.array(r[cut])) for c in range(2, 2 + len(more))]], names=names)
 
     return run
 
@@ -403,44 +481,54 @@ class Known:
         return ok
 
 
-def links_of_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def links_of_groups(group: np.ndarray, kind: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The links of thinned_groups."""
-    return thinned_groups(group, probe, rep, fp, tau, degree)[:2]
+    return thinned_groups(group, kind, rep, fp, tau, degree)[:2]
 
 
-def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within groups, and the nodes of links left out. Rows are sorted by group, index rows before probes.
+def thinned_groups(group: np.ndarray, kind: np.ndarray, rep: np.ndarray, fp: np.ndarray, tau: int, degree: int | None = None, known: Known | None = None, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within groups, and the nodes of links left out. Rows are sorted by group, then by kind.
 
-    Index rows meet each other and the group's probes; probes do not meet. Of a group of over
-    GROUP_PAIRS such pairs a forest comes from breadth-first search instead if no degree is
-    given; else it is compared in blocks and thinned as they come. Links are thinned
-    within their group, so the result depends on a group's rows and their order alone, not on
+    Rows that SEEK meet all rows of the group, those that STAY meet probes, and probes do not meet;
+    rows of one block meet only where the group has no other (block: None if no group has two). Of a
+    group of over GROUP_PAIRS such pairs a forest comes from breadth-first search instead if no degree
+    is given and all its rows seek; else it is compared in steps and thinned as they come. Links are
+    thinned within their group, so the result depends on a group's rows and their order alone, not on
     what else is in the task.
     """
     n = len(group)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     ends = np.append(starts[1:], n)
-    index = np.add.reduceat((~probe).astype(np.int64), starts)
     size = ends - starts
-    wide = index * size > GROUP_PAIRS
     own = np.repeat(np.arange(len(starts)), size)
+    probes = ends - np.add.reduceat((kind == PROBE).astype(np.int64), starts)  # where a group's probes start
+    follows = np.where(kind == SEEK, np.arange(n) + 1, np.where(kind == STAY, probes[own], ends[own]))
+    meets = ends[own] - follows
+    wide = np.add.reduceat(meets, starts) > GROUP_PAIRS
+    two = np.zeros(len(starts), dtype=bool) if block is None else np.maximum.reduceat(block, starts) != np.minimum.reduceat(block, starts)
+    if two.any():
+        apart = two[own]
 
     def near_pairs(left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """An index row meets the rows after it: (row, row, distance) within tau, PAIRS_AT_ONCE compared at a time."""
-        many = ends[own[left]] - left - 1
+        """A row meets the rows that follow: (row, row, distance) within tau, PAIRS_AT_ONCE compared at a time."""
+        many = meets[left]
         before = np.concatenate(([0], np.cumsum(many)))
         at = 0
         while at < len(left):
             to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, side="right")) - 1)
             m = many[at:to]
             x = np.repeat(left[at:to], m)
-            y = x + 1 + np.arange(len(x)) - np.repeat(before[at:to] - before[at], m)
+            y = np.repeat(follows[left[at:to]], m) + np.arange(len(x)) - np.repeat(before[at:to] - before[at], m)
             d = np.bitwise_count(fp[x] ^ fp[y])
-            near = (d <= tau) & (rep[x] != rep[y])
+            at = to
+            near = np.flatnonzero(d <= tau)
+            x, y, d = x[near], y[near], d[near]
+            near = rep[x] != rep[y]
+            if two.any():
+                near &= ~apart[x] | (block[x] != block[y])
             if known is not None:
                 near[near] = known.open_pairs(x[near], y[near])
             yield x[near], y[near], d[near]
-            at = to
 
     def wide_pairs(s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """near_pairs of one group less those that neither a shortest forest nor the degree keeps, thinned whenever HELD_PAIRS have come."""
@@ -451,15 +539,16 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
         def thin() -> None:
             nonlocal held, new, count
             x, y, d = held = [np.concatenate(z) for z in zip(held, *new)]
-            few = (links[x - s] <= degree) & (links[y - s] <= degree)
+            few = (links[x - s] <= limit) & (links[y - s] <= limit)
             keep = few | thin_links(x, y, d, None)
             seen[x[~keep] - s] = seen[y[~keep] - s] = True
             held, new, count = [z[keep] for z in held], [], 0
 
-        for block in near_pairs(s + np.flatnonzero(~probe[s:e])):
-            links += np.bincount(block[0] - s, minlength=e - s) + np.bincount(block[1] - s, minlength=e - s)
-            new.append(block)
-            count += len(block[0])
+        limit = 0 if degree is None else degree
+        for part in near_pairs(s + np.flatnonzero(meets[s:e])):
+            links += np.bincount(part[0] - s, minlength=e - s) + np.bincount(part[1] - s, minlength=e - s)
+            new.append(part)
+            count += len(part[0])
             if count > HELD_PAIRS:
                 thin()
         thin()
@@ -475,10 +564,10 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
         dist.append(d)
         of.append(own[x])
 
-    for pairs in near_pairs(np.flatnonzero(~probe & ~wide[own])):
+    for pairs in near_pairs(np.flatnonzero((meets > 0) & ~wide[own])):
         put(*pairs)
     for g, s, e in zip(np.flatnonzero(wide), starts[wide], ends[wide]):
-        if degree is not None:
+        if degree is not None or two[g] or (kind[s:e] != SEEK).any():
             put(*wide_pairs(s, e))
             continue
         f, where = np.unique(fp[s:e], return_index=True)
@@ -499,33 +588,35 @@ def thinned_groups(group: np.ndarray, probe: np.ndarray, rep: np.ndarray, fp: np
 
 
 def _verify(tau: int, degree: int | None = None, least: float | None = None):
-    """Rows sorted by (key, salt, probe, fp) -> links, and (node, node, true) for nodes of links left out.
+    """Rows sorted by (key, cell, kind, fp) -> links, and (node, node, true) for nodes of links left out.
 
     A group may run over several batches. least: the rows have what Known needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # batches of the last group
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            if held is not None:
-                now = [np.concatenate((h, n)) for h, n in zip(held, now)]
-            key, salt = now[0], now[1]
+            key, cell = now[0], now[1]
             if not len(key):
                 continue
-            same = (key == key[-1]) & (salt == salt[-1])
-            cut = int(np.argmax(same))
-            held = [x[cut:] for x in now]
+            if held and (held[-1][0][-1] != key[0] or held[-1][1][-1] != cell[0]):
+                yield from emit(held)
+                held = []
+            cut = int(np.argmax((key == key[-1]) & (cell == cell[-1])))
             if cut:
-                yield from emit([x[:cut] for x in now])
-        if held is not None:
+                yield from emit([*held, [x[:cut] for x in now]])
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
             yield from emit(held)
 
-    def emit(rows):
-        key, salt, probe, rep, fp = rows[:5]
-        change = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        known = None if least is None else Known(rows[5], rows[6].tolist(), least)
-        a, b, out = thinned_groups(np.cumsum(change), probe, rep, fp.view(np.uint64), tau, degree, known)
+    def emit(batches):
+        rows = [np.concatenate(x) for x in zip(*batches)]
+        key, cell, kind, block, rep, fp = rows[:6]
+        change = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+        known = None if least is None else Known(rows[6], rows[7].tolist(), least)
+        a, b, out = thinned_groups(np.cumsum(change), kind, rep, fp.view(np.uint64), tau, degree, known, block)
         for x, y, cut in ((a, b, False), (out, out, True)):
             if cut and degree is None:
                 break
@@ -536,58 +627,54 @@ def _verify(tau: int, degree: int | None = None, least: float | None = None):
     return run
 
 
-def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = 4096, degree: int | None = None, parts: int | None = None) -> DataFrame:
+def hamming_links(distinct: DataFrame, tau: int = TAU, hot_rows: int = BLOCK_ROWS, degree: int | None = None, parts: int | None = None) -> DataFrame:
     """distinct(rep long, fp long, one row per fp) -> links (u, v) that connect what lies within tau bits."""
     return candidate_links(distinct, tau, hot_rows, degree, parts).where("not cut").select("u", "v")
 
 
-def candidate_links(distinct: DataFrame, tau: int, hot_rows: int = 4096, degree: int | None = None, parts: int | None = None, least: float | None = None) -> DataFrame:
+def candidate_links(distinct: DataFrame, tau: int, hot_rows: int = BLOCK_ROWS, degree: int | None = None, parts: int | None = None, least: float | None = None, column: str = "fp", reach: int | None = None, most: int | None = None) -> DataFrame:
     """Links (u, v, false) as hamming_links, and with a degree (node, node, true) for every node of a link left out.
 
+    column: the fingerprints, longs or several words in a binary. reach: what the word that rows carry may
+    differ by, where it is not tau itself (fingerprints of several words). parts: partitions of each word.
     least: distinct has the columns label and sets too, and only links that Known leaves open count.
     """
     more = () if least is None else ("label", "sets")
-    n, co = bit_statistics(distinct)
+    n, co = bit_statistics(distinct, column)
     if not n:
         return distinct.select(F.col("rep").alias("u"), F.col("rep").alias("v"), F.lit(False).alias("cut"))
-    parts = group_bits(n, co, parts or choose_parts(n, tau))
-    alloc = Allocator(n, parts, histograms(distinct, parts), tau)
-    # values held by over `limit` fingerprints: at most m * n / limit <= 2,000 rows
-    limit = max(hot_rows, math.ceil(n * len(parts) / 2000))
+    parts = [[64 * w + b for b in p] for w in range(len(co)) for p in group_bits(n, co[w], parts or choose_parts(n, tau))]
+    alloc = Allocator(n, parts, histograms(distinct, parts, column), tau, most)
+    # a value's block; values of more fingerprints, at most HOT_VALUES of them, are dealt into several
+    limit = max(hot_rows, math.ceil(n * len(parts) / HOT_VALUES))
 
     def own_keys(batches):
         for batch in batches:
-            values = part_values(batch.column(0).to_numpy(), parts)
-            keys = np.concatenate([v.astype(np.int64) | (np.int64(i) << np.int64(56)) for i, v in enumerate(values)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+            values = part_values(words_of(batch.column(0)), parts)
+            for i, v in enumerate(values):
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64) | (np.int64(i) << np.int64(56)))], names=["key"])
 
-    counts = distinct.select("fp").mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
+    counts = distinct.select(column).mapInArrow(own_keys, "key long").groupBy("key").count().where(F.col("count") > limit)
     hot = {r["key"]: -(-r["count"] // limit) for r in counts.collect()}
-    rows = distinct.select("rep", "fp", *more).mapInArrow(_probe_rows(alloc, hot, more), "key long, salt int, probe boolean, rep long, fp long" + (", label long, sets binary" if more else ""))
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe", "fp", "rep").mapInArrow(_verify(tau, degree, least), "u long, v long, cut boolean")
+    rows = distinct.select("rep", column, *more).mapInArrow(_probe_rows(alloc, hot, more), "key long, cell long, kind byte, block int, rep long, fp long" + (", label long, sets binary" if more else ""))
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "kind", "fp", "rep").mapInArrow(_verify(tau if reach is None else reach, degree, least), "u long, v long, cut boolean")
 
 
 def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
     """Sorted hashes of the different shingles; texts of fewer words have one, texts without words none."""
-    import xxhash
+    return np.unique(shingle_hashes(word_list(text), width, seed))
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), dtype=np.uint64, count=n))
 
+def node_texts(nodes: DataFrame, distinct: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of nodes(node long), by the key of the row that stands for each; equal rows repeat it."""
+    keys = distinct.join(nodes.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi").select(F.col("rep").alias("node"), F.col("first.id").alias("k0"), F.col("first.h1").alias("k1"), F.col("first.h2").alias("k2"))
+    rows = df.select(*row_key(df, id_col), F.col(text_col).cast("string").alias("text"))
+    return rows.join(keys.hint("shuffle_hash"), (F.col("id") == F.col("k0")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("node", "text")  # grows with the corpus: never broadcast
 
-def similar_links(links: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """Links whose texts' shingle sets have a Jaccard similarity of at least `least`."""
-    links = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(nodes.hint("shuffle_hash"), texts["id"] == nodes["node"], "left_semi")  # grows with the corpus: never broadcast
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "s"])
 
-    packed = texts.mapInArrow(arrow_rows(sets), "id long, s binary").groupBy("id").agg(F.min("s").alias("s"))
-    one, two = packed.toDF("u", "su"), packed.toDF("v", "sv")
+def similar_links(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links whose texts' shingle sets (node, s) have a Jaccard similarity of at least `least`."""
+    one, two = sets.toDF("u", "su"), sets.toDF("v", "sv")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
@@ -600,88 +687,113 @@ def similar_links(links: DataFrame, df: DataFrame, id_col: str, text_col: str, w
     return links.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(arrow_rows(compare), "u long, v long")
 
 
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(node, s: its shingle set as bytes), one row a node."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "s"])
+
+    return texts.mapInArrow(arrow_rows(sets), "node long, s binary").groupBy("node").agg(F.min("s").alias("s"))
+
+
 def parity_map(s: np.ndarray) -> bytes:
     """Size of a set of hashes and the parities of its counts by their low bits."""
     odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
     return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def set_maps(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, sets: parity_map) of the texts of nodes(node long), of the same set as similar_links takes for an id."""
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(nodes.hint("shuffle_hash"), texts["id"] == nodes["node"], "left_semi")
+def maps_of(sets: DataFrame) -> DataFrame:
+    """(node, sets: parity_map)."""
 
     def maps(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(list(map(parity_map, found)), pa.binary())], names=["id", "s", "sets"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([parity_map(np.frombuffer(s.as_py(), dtype=np.uint64)) for s in batch.column(1)], pa.binary())], names=["node", "sets"])
 
-    return texts.mapInArrow(arrow_rows(maps), "id long, s binary, sets binary").groupBy("id").agg(F.min_by("sets", "s").alias("sets"))
+    return sets.mapInArrow(arrow_rows(maps), "node long, sets binary")
 
 
-def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, tau: int, least: float, parts: int | None, scratch: Scratch) -> DataFrame:
-    """Links (u, v) within tau bits and of a Jaccard similarity of at least `least`, that connect what all such links do.
+def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, least: float, scratch: Scratch, tau: int, parts: int | None, reach: int | None, most: int | None = None) -> DataFrame:
+    """Links (u, v) of a Jaccard similarity of at least `least` that connect what all such links among the candidates do.
 
     A round verifies a thinned set of candidates. The texts of candidates left out come back in
     the next one, where pairs within a component, and pairs that a bound on the similarity
     excludes, are no candidates any more and the degree is higher. The last round leaves out none.
     """
-    part, links, degree, k = distinct, None, CANDIDATE_DEGREE, 0
+    part, links, sets, degree, k = distinct, None, None, CANDIDATE_DEGREE, 0
     while True:
-        found = scratch.keep(candidate_links(part, tau, degree=degree, parts=parts, least=None if k == 0 else least), f"candidates{k}")
-        good = scratch.keep(similar_links(found.where("not cut").select("u", "v"), df, id_col, text_col, width, least), f"links{k}")
+        found = scratch.keep(candidate_links(part, tau, degree=degree, parts=parts, least=None if k == 0 else least, column="wide", reach=reach, most=most), f"candidates{k}", narrow=True)
+        pairs = scratch.keep(found.where("not cut").select("u", "v").distinct(), f"pairs{k}", narrow=True)
+        if sets is None:
+            # whatever is left out has a link in the first round too, so these nodes are all that any round compares
+            nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            sets = scratch.keep(sets_of(node_texts(nodes, distinct, df, id_col, text_col), width), "sets")
+        good = scratch.keep(similar_links(pairs, sets, least), f"links{k}", narrow=True)
         links = good if links is None else links.union(good)
-        cut = scratch.keep(found.where("cut").select(F.col("u").alias("node")).distinct(), f"cut{k}")
-        scratch.drop(f"candidates{k}")
+        cut = scratch.keep(found.where("cut").select(F.col("u").alias("node")).distinct(), f"cut{k}", narrow=True)
+        scratch.drop(f"candidates{k}", f"pairs{k}", f"part{k - 1}")
         if cut.isEmpty():
+            scratch.drop("sets", f"part{k}")
             return links
         labels = connected_components(links, scratch).select(F.col("node").alias("member"), "component")
         if k == 0:
-            maps = set_maps(cut, df, id_col, text_col, width)
-            part = distinct.join(maps.hint("shuffle_hash"), F.col("rep") == F.col("id")).drop("id")
+            maps = maps_of(sets.join(cut.hint("shuffle_hash"), "node", "left_semi"))
+            part = distinct.join(maps.hint("shuffle_hash"), F.col("rep") == F.col("node")).drop("node")
         else:
             part = part.join(cut.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi").drop("label")
         part = part.join(labels.hint("shuffle_hash"), F.col("rep") == F.col("member"), "left")
-        part = scratch.keep(part.select("rep", "fp", F.coalesce("component", "rep").alias("label"), "sets"), f"part{k}")
+        part = scratch.keep(part.select("rep", "wide", F.coalesce("component", "rep").alias("label"), "sets"), f"part{k}", narrow=True)
         k, degree = k + 1, degree * DEGREE_GROWTH
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints: id, fp; groups: fp, rep, component) as tables of the shared folder.
+def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = TAU, min_similarity: float | None = None, n_words: int = WIDE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of every row; groups: one row a node, with first, the least row_key of its rows, and low, that of its group).
 
-    One group row a fingerprint; with min_similarity one for each fingerprint and word sequence,
-    both tables having words (their hash) too, so that different texts of equal fingerprints are verified.
-
-    With min_similarity the links within tau bits are candidates, and those between texts of
-    a lower Jaccard similarity of `width`-word shingles are dropped. parts: number of bit
-    partitions, None for the one of the least expected cost at this number of fingerprints.
+    Without min_similarity a node is a fingerprint of 64 bits, and those within tau bits link. With it a node is
+    a word sequence, fingerprints have n_words words with 4 partitions each, candidates come from a pigeonhole
+    budget of one bit less than there are partitions, and those of texts whose `width`-word shingles
+    have a lower Jaccard similarity are dropped; tau is not used.
     """
-    scratch = Scratch(df.sparkSession)
-    keys = ["fp"] if min_similarity is None else ["fp", "words"]
-    fps = scratch.keep(fingerprints(df, id_col, text_col, width, words=len(keys) > 1), "fps")
-    distinct = scratch.keep(fps.groupBy(*keys).agg(F.coalesce(F.min("id"), F.lit(NO_ID)).cast("long").alias("rep")), "distinct")
-    if min_similarity is None:
-        links = hamming_links(distinct, tau, parts=parts)
+    wide = min_similarity is not None
+    fps = scratch.keep(fingerprints(df, id_col, text_col, width, n_words=n_words if wide else 1), "fps")
+    keys = ["fp", "words"] if wide else ["fp"]
+    first = F.min(F.struct("id", "h1", "h2")).alias("first")
+    # written with its numbers, so that they stay what they are
+    distinct = scratch.keep(fps.groupBy(*keys).agg(first, *[F.min("wide").alias("wide")] * wide).withColumn("rep", F.monotonically_increasing_id()), "distinct", narrow=True)
+    if wide:
+        links = verified_links(distinct, df, id_col, text_col, width, min_similarity, scratch, 4 * n_words - 1, 4, WORD_REACH, MOST)
     else:
-        links = verified_links(distinct, df, id_col, text_col, width, tau, min_similarity, parts, scratch)
+        links = hamming_links(distinct, tau)
     found = connected_components(links, scratch)
-    groups = distinct.join(found, F.col("rep") == F.col("node"), "left").select(*keys, "rep", F.coalesce("component", "rep").alias("component"))
-    return fps, scratch.keep(groups, "groups")
+    joined = distinct.join(found, F.col("rep") == F.col("node"), "left").select(*keys, "first", F.coalesce("component", "rep").alias("component"))
+    joined = scratch.keep(joined, "members", narrow=True)
+    low = joined.groupBy("component").agg(F.min("first").alias("low"))
+    groups = scratch.keep(joined.join(low, "component").select(*keys, "first", "low"), "groups", narrow=True)
+    scratch.drop("members", "distinct", *[n for n in scratch.paths if n.startswith(("links", "star", "cut", "part"))])
+    return fps, groups
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """df's rows less near copies: of each group the row with the smallest id stays. Rows of one id count as one document."""
-    fps, groups = near_duplicates(df, id_col, text_col, **kw)
-    kept = groups.where("rep = component").select(F.col("rep").alias("_keep")).distinct()
+    """df's rows less near copies: of each group one row stays, that of the smallest (id, content); a null id is the largest.
+
+    Rows are told apart by id and content (row_key), never by id alone: different texts of one id, or
+    without ids, are documents of their own.
+    """
+    scratch = Scratch(df.sparkSession)
+    fps, groups = near_duplicates(df, scratch, id_col, text_col, **kw)
+    kept = scratch.keep(groups.select("low.*").distinct().toDF("_k0", "_k1", "_k2"), "kept", narrow=True)
     names = df.columns
-    plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
-    own = f"_c{names.index(id_col)}"
-    plain = plain.withColumn("_id", F.coalesce(F.col(own).cast("long"), F.lit(NO_ID)))
-    j = plain.join(kept.hint("shuffle_hash"), plain["_id"] == kept["_keep"], "left_semi")  # grows with the corpus: never broadcast
-    first = j.withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_id"))).where("_r = 1")
-    return first.drop("_id", "_r").toDF(*names)
+    id_, h1, h2 = row_key(df, id_col)
+    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], id_.alias("_id"), h1.alias("_h1"), h2.alias("_h2"))
+    same = lambda a, b, c: (F.col(a) == F.col("_k0")) & (F.col(b) == F.col("_k1")) & (F.col(c) == F.col("_k2"))
+    out = plain.join(kept.hint("shuffle_hash"), same("_id", "_h1", "_h2"), "left_semi")  # grows with the corpus: never broadcast
+    repeats = not fps.join(kept.hint("shuffle_hash"), same("id", "h1", "h2"), "left_semi").groupBy("id", "h1", "h2").count().where("count > 1").isEmpty()
+    scratch.drop("fps", "groups")
+    if repeats:  # rows equal in every column
+        out = out.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_h1", "_h2").orderBy("_h1"))).where("_n = 1")
+    return out.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fps, groups = near_duplicates(table(spark, sf_dir, "documents"))
-    component = F.when(F.col("component") != NO_ID, F.col("component"))
-    return fps.join(groups, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    fps, groups = near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    or_null = lambda c: F.when(c != NO_ID, c)
+    return fps.join(groups.select("fp", F.col("low.id").alias("component")), "fp").select(
+        or_null(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), or_null(F.col("component")).alias("component_id"))
