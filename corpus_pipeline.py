@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in
 the shared folder and reread as the next one's docs. All but the last return the columns of
 documents. Each stage works on all rows its predecessor kept, and thresholds, fingerprints,
-targets and packing are computed anew from them.
+targets and packing are computed anew from them. The last stage's rows hold the token ids, so
+the sequences can be built from them alone; row_id tells the copies of one document apart.
 """
 
 from __future__ import annotations
@@ -13,10 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strataforge.llm import op2_simhash, op4_pii, op5_quality, op6_mix, op10_pack
 from strataforge.llm._common import Scratch, table
 
-#: Near-duplicates: shingles of five words and a Jaccard similarity of 0.8 or more among the
-#: candidates within CANDIDATE_BITS bits. With a fixed number of bit partitions a fingerprint has
-#: as many probes at every size; None chooses the number by cost, for corpora beyond some 10^7 texts.
-SHINGLE_WORDS, MIN_SIMILARITY, CANDIDATE_BITS, BIT_PARTITIONS = 5, 0.8, 10, 6
+#: Near-duplicates: shingles of five words and a Jaccard similarity of 0.8 or more.
+SHINGLE_WORDS, MIN_SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op2_simhash.drop_near_duplicates(docs, width=SHINGLE_WORDS, tau=CANDIDATE_BITS, min_similarity=MIN_SIMILARITY, parts=BIT_PARTITIONS)
+    return op2_simhash.drop_near_duplicates(docs, width=SHINGLE_WORDS, min_similarity=MIN_SIMILARITY)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_pack.pack_documents(docs)
+    return op10_pack.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
