@@ -82,21 +82,15 @@ def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarr
     return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), dtype=np.uint64, count=len(starts))
 
 
-#: Bits of each byte value, lowest first.
-_BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
-
-
 def majority(h: np.ndarray, n_words: int = 1) -> np.ndarray:
     """The fingerprint of hashes h as n_words numbers of 64 bits; beyond the first from hashes mixed anew."""
-    counts = np.zeros((8 * n_words, 8), dtype=np.int64)
-    place = 256 * np.arange(8 * n_words)
-    for at in range(0, len(h), 1 << 12):
-        x = h[at : at + (1 << 12), None]
+    counts = np.zeros(64 * n_words, dtype=np.int64)
+    for at in range(0, len(h), 255):  # so many fit a byte's counter
+        x = h[at : at + 255]
         if n_words > 1:
-            x = np.concatenate([x, *[mixed(x, k) for k in range(1, n_words)]], axis=1)
-        of_bytes = np.bincount((np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1) + place).reshape(-1), minlength=256 * 8 * n_words)
-        counts += of_bytes.reshape(-1, 256) @ _BITS
-    return np.packbits((2 * counts > len(h)).astype(np.uint8), axis=1, bitorder="little").reshape(-1).view("<u8")
+            x = np.stack([x, *[mixed(x, k) for k in range(1, n_words)]], axis=1)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -111,11 +105,11 @@ def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
     return int(majority(shingle_hashes(word_list(text), width, seed))[0])
 
 
-def words_hash(text: str | None, seed: int = SEED) -> int:
+def words_hash(words: list[bytes], seed: int = SEED) -> int:
     """Of all words in order, so equal for texts of equal shingles at any width."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(b" ".join(word_list(text)), seed + 1)
+    return xxhash.xxh64_intdigest(b" ".join(words), seed + 1)
 
 
 def row_key(df: DataFrame, id_col: str) -> list[Column]:
@@ -141,7 +135,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if n_words > 1:
                 f = majority(np.unique(h), n_words)
                 cols[1].append(f.tobytes())
-                cols[2].append(words_hash(t.as_py(), seed))
+                cols[2].append(words_hash(words, seed))
             else:
                 f = majority(h)
             cols[0].append(int(f[0]))
@@ -729,9 +723,9 @@ def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: st
         good = scratch.keep(similar_links(pairs, sets, least), f"links{k}", narrow=True)
         links = good if links is None else links.union(good)
         cut = scratch.keep(found.where("cut").select(F.col("u").alias("node")).distinct(), f"cut{k}", narrow=True)
-        scratch.drop(f"candidates{k}", f"pairs{k}", f"part{k - 1}")
+        scratch.drop(f"candidates{k}", f"pairs{k}")
         if cut.isEmpty():
-            scratch.drop("sets", f"part{k}")
+            scratch.drop("sets", f"part{k - 1}")
             return links
         labels = connected_components(links, scratch).select(F.col("node").alias("member"), "component")
         if k == 0:
@@ -741,6 +735,7 @@ def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: st
             part = part.join(cut.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi").drop("label")
         part = part.join(labels.hint("shuffle_hash"), F.col("rep") == F.col("member"), "left")
         part = scratch.keep(part.select("rep", "wide", F.coalesce("component", "rep").alias("label"), "sets"), f"part{k}", narrow=True)
+        scratch.drop(f"part{k - 1}")
         k, degree = k + 1, degree * DEGREE_GROWTH
 
 

@@ -6,10 +6,12 @@ excess is shared again by weight. The fill level follows from running sums over
 sorted by cap / weight (one row per source, not per document).
 
 Copies: a source with target t and size s gives every document floor(t / s) certain whole
-copies. For the rest, r = t - floor(t / s) * s words, documents are ranked by
-Q = (u / (1 - u)) / (p / (1 - p)), where u is a hash of the document's id and text and p its
-inclusion probability (r / s, or unequal by `odds_weight`), and taken in this order up to the
-rank whose running word count is nearest to r.
+copies. For the rest, r = t - floor(t / s) * s words, a document of x words has the inclusion
+probability p = min(1, l * x ** power): by default in proportion to its size, with l such that the
+expected words are r (found on the counts of each size). Documents with p = 1 are certain once
+more; the others are ranked by Q = (u / (1 - u)) / (p / (1 - p)), where u is a hash of the document's
+id and text, and taken in this order up to the rank whose running word count is nearest to
+what the certain ones leave of r.
 
 The rank is never made by sorting a source in one task: words are summed per (source, bin of
 Q / (1 + Q)), running sums over bins find the one bin in which the cut lies, and only that
@@ -65,80 +67,99 @@ def uniform(doc_id: Column, text: Column) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """docs(source, size, u, ow) -> one row per source: source_size, target, whole, cut.
+def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, total_share: float = 1.5, cap: float = 2.0, power: float = 1.0) -> DataFrame:
+    """docs(source, size, u) -> one row per source: source_size, target, whole, scale, cut.
 
-    A document of the source is taken `whole` times, and once more if its score() <= cut.
+    A document of the source is taken `whole` times, and once more if scale * size ** power >= 1 or its score() <= cut.
     """
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    t = scratch.keep(sizes, "sizes")
-    t = source_targets(t.select("source", "source_size"), weights, total_share, cap).join(t.select(F.col("source").alias("s2"), "n_docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    by_size = scratch.keep(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes", narrow=True)
+    sizes = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
+    few = sizes.select(F.col("source").alias("s2"), "n_docs")
+    t = source_targets(sizes.select("source", "source_size"), weights, total_share, cap).join(few, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    t = t.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    t = scratch.keep(t, "targets")
-    few = t.select(F.col("source").alias("t_source"), "source_size", "rest", "n_docs")
-    j = docs.join(few, docs["source"].eqNullSafe(few["t_source"])).where("size > 0 and rest > 0")
+    t = scratch.keep(t.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets", narrow=True)
+    # the scale: sizes from the largest on are certain until the rest's largest is not
+    need = t.select(F.col("source").alias("t_source"), "rest", "n_docs").where("rest > 0")
+    down = W.partitionBy("source").orderBy(F.desc("size"))
+    x = F.pow(F.col("size").cast("double"), F.lit(float(power)))
+    steps = by_size.where("size > 0").join(need, F.col("source").eqNullSafe(F.col("t_source")))
+    steps = steps.withColumn("words", F.col("size") * F.col("n")).withColumns({
+        "sure": F.sum("words").over(down.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"),
+        "left": F.sum(x * F.col("words")).over(down.rowsBetween(0, W.unboundedFollowing)),
+    })
+    steps = steps.withColumn("scale", (F.col("rest") - F.col("sure")) / F.col("left")).where(F.col("scale") * x < 1)
+    scales = steps.groupBy("source").agg(F.max_by(F.struct("scale", "sure", "n_docs", (F.col("rest") - F.col("sure")).alias("open")), "size").alias("x"))
+    scales = scratch.keep(scales.select(F.col("source").alias("x_source"), "x.*"), "scales", narrow=True)
+    j = docs.where("size > 0").join(scales, docs["source"].eqNullSafe(scales["x_source"]))
     n_bins = F.greatest(F.lit(64), F.least(F.lit(1 << 17), F.ceil(F.sqrt("n_docs")))).cast("long")
-    j = j.withColumns({"score": score(F.col("u"), F.col("rest") / F.col("source_size"), F.col("ow")), "bins": n_bins})
+    p = inclusion(F.col("size"), F.col("scale"), power)
+    j = j.where(p < 1).withColumns({"score": score(F.col("u"), p), "bins": n_bins})
     j = j.withColumn("bin", F.floor(F.col("score") * F.col("bins")).cast("long"))
-    per_bin = j.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
+    per_bin = j.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("open").alias("open"))
     run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    edge = per_bin.withColumn("upto", F.sum("words").over(run)).where("upto > rest and upto - words <= rest").select(
+    edge = per_bin.withColumn("upto", F.sum("words").over(run)).where("upto > open and upto - words <= open").select(
         F.col("source").alias("e_source"), F.col("bin").alias("e_bin"), (F.col("upto") - F.col("words")).alias("base"))
-    inside = j.join(scratch.keep(edge, "edge"), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bin") == F.col("e_bin")))
-    units = inside.groupBy("source", "score").agg(F.sum("size").alias("words"), F.max("base").alias("base"), F.max("rest").alias("rest"), F.max("bins").alias("bins"), F.max("bin").alias("bin"))
+    inside = j.join(scratch.keep(edge, "edge", narrow=True), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bin") == F.col("e_bin")))
+    units = inside.groupBy("source", "score").agg(F.sum("size").alias("words"), F.max("base").alias("base"), F.max("open").alias("open"), F.max("bins").alias("bins"), F.max("bin").alias("bin"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("score").rowsBetween(W.unboundedPreceding, 0))
     cut = (
         units.withColumn("before", F.col("base") + upto - F.col("words"))
         .groupBy("source")
-        .agg(F.max(F.when(F.col("before") + F.col("words") / 2 <= F.col("rest"), F.col("score"))).alias("cut"), F.min(F.col("bin") / F.col("bins")).alias("low"))
+        .agg(F.max(F.when(F.col("before") + F.col("words") / 2 <= F.col("open"), F.col("score"))).alias("cut"), F.min(F.col("bin") / F.col("bins")).alias("low"))
         # none of the bin's documents is taken: the cut lies below the bin
         .select(F.col("source").alias("c_source"), F.coalesce("cut", F.col("low") - F.lit(1e-15)).alias("cut"))
     )
+    t = t.join(scales.select("x_source", "scale"), F.col("source").eqNullSafe(F.col("x_source")), "left")
     return t.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
-        "source", "source_size", "target", "whole",
+        "source", "source_size", "target", "whole", F.coalesce("scale", F.lit(0.0)).alias("scale"),
         # no bin crosses the rest: all of the source is taken (rest = 0 has whole copies only)
         F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(2.0)).otherwise(F.lit(-1.0))).alias("cut"),
     )
 
 
-def score(u: Column, p: Column, ow: Column) -> Column:
-    """Q / (1 + Q) for Q = odds(u) / (ow * odds(p)); order-preserving and within (0, 1)."""
-    odds = ow * p / (1 - p)
-    q = (u / (1 - u)) / odds
+def inclusion(size: Column, scale: Column, power: float) -> Column:
+    """Probability of one more copy; from 1 on it is certain."""
+    return scale * F.pow(size.cast("double"), F.lit(float(power)))
+
+
+def score(u: Column, p: Column) -> Column:
+    """Q / (1 + Q) for Q = odds(u) / odds(p); order-preserving and within (0, 1)."""
+    q = (u / (1 - u)) / (p / (1 - p))
     return q / (1 + q)
 
 
-def copies_of(u: Column, ow: Column) -> Column:
-    p = (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size")
-    return (F.col("whole") + F.when(F.col("cut") >= 1, 1).when((F.col("cut") > 0) & (score(u, p, ow) <= F.col("cut")), 1).otherwise(0)).cast("long")
+def copies_of(u: Column, size: Column, power: float) -> Column:
+    p = inclusion(size, F.col("scale"), power)
+    once = F.when((p >= 1) | (F.col("cut") >= 1), 1).when((F.col("cut") > 0) & (p > 0) & (score(u, p) <= F.col("cut")), 1).otherwise(0)
+    return F.when(size > 0, F.col("whole") + once).otherwise(F.lit(0)).cast("long")
+
+
+def _slim(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.col(text_col)).alias("u"))
 
 
-def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", odds_weight: Column | None = None, **kw) -> DataFrame:
+def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 1.0, **kw) -> DataFrame:
     """One row per row of df: id, source, size, source_size, target, copies, taken."""
     scratch = Scratch(df.sparkSession)
-    ow = F.lit(1.0) if odds_weight is None else odds_weight
-    slim = scratch.keep(df.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.col(text_col)).alias("u"), ow.cast("double").alias("ow"),
-    ), "words")
-    plan = scratch.keep(plan_mix(slim, scratch, **kw), "plan").withColumnRenamed("source", "p_source")
-    out = slim.join(plan, slim["source"].eqNullSafe(plan["p_source"])).withColumn("copies", F.when(F.col("size") > 0, copies_of(F.col("u"), F.col("ow"))).otherwise(F.lit(0)).cast("long"))
-    scratch.drop("sizes", "targets", "edge")
+    slim = scratch.keep(_slim(df, id_col, text_col, source_col), "words")
+    plan = scratch.keep(plan_mix(slim, scratch, power=power, **kw), "plan", narrow=True).withColumnRenamed("source", "p_source")
+    scratch.drop("sizes", "targets", "scales", "edge")
+    out = slim.join(plan, slim["source"].eqNullSafe(plan["p_source"])).withColumn("copies", copies_of(F.col("u"), F.col("size"), power))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", odds_weight: Column | None = None, **kw) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 1.0, **kw) -> DataFrame:
     """df's rows, each as often as the mix takes it. Texts are read twice but not shuffled."""
     names = df.columns
     scratch = Scratch(df.sparkSession)
-    ow = F.lit(1.0) if odds_weight is None else odds_weight
-    slim = scratch.keep(df.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.col(text_col)).alias("u"), ow.cast("double").alias("ow")), "words")
-    plan = scratch.keep(plan_mix(slim, scratch, **kw), "plan").withColumnRenamed("source", "p_source")
-    scratch.drop("words", "sizes", "targets", "edge")
+    slim = scratch.keep(_slim(df, id_col, text_col, source_col).select("source", "size", "u"), "words")
+    plan = scratch.keep(plan_mix(slim, scratch, power=power, **kw), "plan", narrow=True).withColumnRenamed("source", "p_source")
+    scratch.drop("words", "sizes", "targets", "scales", "edge")
     at = {c: f"_c{i}" for i, c in enumerate(names)}
-    plain = df.withColumn("_ow", ow.cast("double")).toDF(*at.values(), "_ow")
+    plain = df.toDF(*at.values())
+    plain = plain.withColumn("_size", word_count(F.col(at[text_col])))
     j = plain.join(plan, plain[at[source_col]].cast("string").eqNullSafe(plan["p_source"]))
-    copies = F.when(F.coalesce(F.col(at[text_col]).rlike(WORD), F.lit(False)), copies_of(uniform(F.col(at[id_col]), F.col(at[text_col])), F.col("_ow"))).otherwise(F.lit(0))
+    copies = copies_of(uniform(F.col(at[id_col]), F.col(at[text_col])), F.col("_size"), power)
     return j.withColumn("_n", copies.cast("int")).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*at.values()).toDF(*names)
 
 

@@ -71,14 +71,57 @@ def test_mix_of_odd_tables(spark):
     assert len(got) == 5 and len({r["taken"] for r in got if r["source"]}) == 1
 
 
-def test_inclusion_follows_the_odds(spark):
-    """Over many documents of equal size, the share taken is the remainder's, and weighted odds raise it."""
-    df = spark.createDataFrame([(i, "w w w w", "s") for i in range(6000)], "doc_id long, text string, source string")
-    got = mx.mix_counts(df, total_share=0.3).select(F.sum("taken"), F.sum("size")).first()
-    assert got[0] / got[1] == pytest.approx(0.3, abs=0.001)
-    heavy = mx.mix_counts(df, total_share=0.3, odds_weight=F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0)).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()
-    n = {r["odd"]: r["n"] for r in heavy}
-    assert n[0] + n[1] == pytest.approx(1800, abs=2) and n[0] > 2 * n[1]
+def pareto(docs, rest, power):
+    """Which of docs (size, u) one more copy goes to: certain ones, then by rank, as near to rest words as ranks allow."""
+    docs = sorted((d for d in docs if d[0]), key=lambda d: -d[0])
+    sure = 0
+    while True:  # largest first, until the largest that is left isn't certain
+        left = docs[sure:]
+        scale = (rest - sum(d[0] for d in docs[:sure])) / sum(d[0] * d[0] ** power for d in left)
+        if scale * left[0][0] ** power < 1:
+            break
+        sure += 1
+    odds = lambda p: p / (1 - p)
+    ranked = sorted(left, key=lambda d: odds(d[1]) / odds(scale * d[0] ** power))
+    gap, taken, words = rest - sum(d[0] for d in docs[:sure]), set(docs[:sure]), 0
+    for d in ranked:
+        if words + d[0] / 2 > gap:
+            break
+        taken.add(d)
+        words += d[0]
+    return taken, scale
+
+
+@pytest.mark.parametrize("power", [1.0, 0.5, 0.0])
+def test_selection_is_pareto_order_sampling(spark, power):
+    rows = [r for r in corpus(4, 1500) if r[0] % 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    u = {r["doc_id"]: r["u"] for r in df.select("doc_id", mx.uniform(F.col("doc_id"), F.col("text")).alias("u")).collect()}
+    got = mx.mix_counts(df, power=power).collect()
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r["source"], []).append(r)
+    unequal = 0
+    for rs in by_source.values():
+        whole = int(rs[0]["target"] // rs[0]["source_size"])
+        rest = rs[0]["target"] - whole * rs[0]["source_size"]
+        taken, scale = pareto([(r["size"], u[r["doc_id"]]) for r in rs], rest, power) if rest > 1e-6 else (set(), 0)
+        for r in rs:
+            assert r["copies"] == (whole + ((r["size"], u[r["doc_id"]]) in taken) if r["size"] else 0)
+        unequal += len({min(1.0, scale * r["size"] ** power) for r in rs if r["size"]} - {0}) > 1
+    assert unequal if power else not unequal
+
+
+def test_inclusion_follows_size(spark):
+    """Documents of three times the words are taken three times as often, and the share of words is the remainder's."""
+    df = spark.createDataFrame([(i, "w w w" if i % 2 else "w", "s") for i in range(6000)], "doc_id long, text string, source string")
+    got = mx.mix_counts(df, total_share=0.3)
+    words = got.select(F.sum("taken"), F.sum("size")).first()
+    assert words[0] / words[1] == pytest.approx(0.3, abs=0.001)
+    n = {r["size"]: r["n"] for r in got.groupBy("size").agg(F.sum("copies").alias("n")).collect()}
+    assert n[3] / n[1] == pytest.approx(3, rel=0.15)
+    n = {r["size"]: r["n"] for r in mx.mix_counts(df, total_share=0.3, power=0.0).groupBy("size").agg(F.sum("copies").alias("n")).collect()}
+    assert n[3] / n[1] == pytest.approx(1, rel=0.15)
 
 
 def test_targets_are_water_filling(spark):
