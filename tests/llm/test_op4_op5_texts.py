@@ -211,9 +211,68 @@ def test_thresholds_are_those_of_all_rows(spark):
     df = spark.createDataFrame(documents(), SCHEMA)
     sketches = [sorted(map(str, ql.sketch(ql.quality_metrics(df.repartition(n))).collect())) for n in (1, 7)]
     assert sketches[0] == sketches[1]
-    fence = {(r["lang"], r["source"]): r for r in ql.thresholds(ql.sketch(ql.quality_metrics(df)), min_docs=5, reach=0.0).collect()}
-    x = sorted(len(t) - t.count(" ") for _, t, la, s, _ in documents(200)[:200] if la == "en" and s == "s1")
-    q75 = x[math.ceil(0.75 * len(x)) - 1] / 120
-    high = fence["en", "s1"]["fence"]["mean_word_chars"]["high"] - ql.METRICS["mean_word_chars"][1]
-    assert high == pytest.approx(q75, rel=2 * ql.ACCURACY)
-    assert fence[None, None]["fence"] is not None  # too few: the sketch of all
+
+
+def fences_of(rows, prior=ql.PRIOR_DOCS, reach=ql.REACH):
+    """(lang, source) -> metric -> (low, high), from plain lists of all values and their weights."""
+    step = math.log(1 + ql.ACCURACY)
+    values = {}
+    for _, text, lang, source, _ in rows:
+        n, chars, symbols, dup, repeat, lines, upper = ql.text_counts(text)
+        if n:
+            x = {"symbol_ratio": symbols / n, "dup_line_ratio": dup / lines, "repeat_ratio": repeat / n, "upper_ratio": upper / chars, "mean_word_chars": chars / n, "n_words": n, "n_lines": lines, "word_chars": chars}
+            values.setdefault((lang, source), []).append({m: (1 + ql.ACCURACY) ** math.ceil(math.log(1 + v / ql.UNITS[m]) / step) * ql.UNITS[m] - ql.UNITS[m] for m, v in x.items()})
+    every = [x for v in values.values() for x in v]
+
+    def quantile(m, lang, own, q):
+        of_lang = [x for (la, _), v in values.items() if la == lang for x in v]
+        prior_lang = len(of_lang) + prior
+        weighted = sorted([(x[m], 1.0) for x in own] + [(x[m], prior / prior_lang) for x in of_lang] + [(x[m], prior / prior_lang * prior / len(every)) for x in every])
+        total, seen = sum(w for _, w in weighted), 0.0
+        for v, w in weighted:
+            seen += w
+            if seen >= q * total - 1e-9:
+                return v
+
+    out = {}
+    for (lang, source), own in values.items():
+        fence = out[lang, source] = {}
+        for m, (_, size, event) in ql.METRICS.items():
+            low, high, n = quantile(m, lang, own, 0.25), quantile(m, lang, own, 0.75), max(quantile(size, lang, own, 0.25), 1) / event
+            if m in ql.SHARES:
+                p = min(1, (high * n + 1) / (n + 2))
+                fence[m] = (-math.inf, max(high, p) + reach * math.sqrt((high - low) ** 2 + p * (1 - p) / n))
+            else:
+                spread = math.sqrt((high - low) ** 2 + high / n)
+                fence[m] = (low - reach * spread, high + reach * spread)
+    return out
+
+
+def test_thresholds_and_verdicts_against_brute_force(spark):
+    rows = documents()
+    rnd = random.Random(12)
+    for i in range(60):  # some in each group that lie near the fences
+        words = [w + "%" * (rnd.random() < 0.06) for w in documents(1)[0][1].split()]
+        rows.append((2000 + i, " ".join(words[: rnd.randint(60, 120)]) + "\n" + " ".join(words[: rnd.randint(0, 30)]), rnd.choice(["en", "fr", None]), rnd.choice(["s0", "s9"]), 0))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = fences_of(rows)
+    metrics = ql.quality_metrics(df, keep=["doc_id", "text", "lang", "source"])
+    fences = ql.thresholds(ql.sketch(metrics))
+    got = {(r["lang"], r["source"]): r["fence"] for r in fences.collect()}
+    assert set(got) == set(want)
+    for g, fence in want.items():
+        for m, (low, high) in fence.items():
+            assert got[g][m]["high"] == pytest.approx(high) and (got[g][m]["low"] == pytest.approx(low) if m not in ql.SHARES else got[g][m]["low"] is None)
+    verdicts = 0
+    for r in ql.judge(metrics, fences).collect():
+        n, chars, symbols, dup, repeat, lines, upper = ql.text_counts(r["text"])
+        if not n:
+            assert not r["kept"]
+            continue
+        x = {"symbol_ratio": symbols / n, "dup_line_ratio": dup / lines, "repeat_ratio": repeat / n, "upper_ratio": upper / chars, "mean_word_chars": chars / n}
+        over = [m for m, v in x.items() if not want[r["lang"], r["source"]][m][0] <= v <= want[r["lang"], r["source"]][m][1]]
+        assert r["_reasons"] == over and r["kept"] == (n >= 50 and 100 * repeat <= 50 * n and not over)
+        verdicts += bool(over)
+    assert verdicts > 5
+    # thresholds follow the group: a language of long words has a higher fence for them
+    assert len({round(f["mean_word_chars"]["high"], 3) for f in got.values()}) > 3
