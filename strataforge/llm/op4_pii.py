@@ -2,11 +2,12 @@
 
 Base spans are the contract's four patterns over the whole text. The model adds spans that
 the patterns miss (phones without a plus, spelled-out addresses, secrets, IBANs, identity
-numbers): segments of up to MAX_TOKENS tokens are scored as wholes (their shape, digits,
-entropy, checksums, the words before them), and a dynamic program over segment ends chooses
-boundaries and types together. Text without a digit, an `@` or a cue has no candidate with a
-positive score, so decoding runs over windows around such triggers, at any place of the text;
-its cost is linear in their number. Training maximises the conditional likelihood of labelled
+numbers): segments of up to MAX_TOKENS tokens and MAX_CHARS characters are scored as wholes (their shape,
+digits, entropy, the checksums of IBANs and cards, the words before them), and a dynamic program over
+segment ends chooses boundaries and types together. The bounds are those of the kinds: the longest IBAN
+has nine groups, and a spelled-out address, whose labels are not bounded, is followed label by
+label beyond its segment. Decoding runs over windows around triggers (digits, `@`, `=`, spelled-out at and
+dot, cue words), at any place of the text; its cost is linear in their number. Training maximises the conditional likelihood of labelled
 sequences by forward-backward over segments.
 
 Defined cases: a null or empty text has no spans (the digest of the empty string); a model
@@ -31,14 +32,16 @@ from strataforge.llm._common import arrow_rows, ship, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MODEL_KINDS = ("email", "phone", "secret", "iban", "ssn")
-#: The longest IBANs are 34 characters in groups of four.
-MAX_TOKENS = 9
+#: The longest IBANs are 34 characters in groups of four. Segments of several tokens have at most MAX_CHARS
+#: characters, as an address has; single tokens may be of any length.
+MAX_TOKENS, MAX_CHARS = 9, 320
 #: Characters of the account part by country, for training.
 IBAN_LENGTHS = {"NO": 11, "BE": 12, "NL": 14, "DE": 18, "GB": 18, "ES": 20, "FR": 23, "IT": 23, "PL": 24, "MT": 27, "LC": 28}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: Matches start at the start of a run of digits; said so, a long run is looked at once.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -118,7 +121,9 @@ _SHAPES = {
 }
 #: A spelled-out dot on either side of a segment, which then is part of a longer address.
 _DOT_AFTER, _DOT_BEFORE = re.compile(r"\s*(?:\(dot\)|\[dot\])", re.I), re.compile(r"(?:\(dot\)|\[dot\])\s*$", re.I)
-N_FEATURES = 25
+#: Labels of a spelled-out address behind a segment.
+_MORE_LABELS = re.compile(r"(?:\s*(?:\(dot\)|\[dot\])\s*[\w-]+)+", re.I)
+N_FEATURES = 27
 
 
 def entropy(s: str) -> float:
@@ -126,6 +131,14 @@ def entropy(s: str) -> float:
     return -sum((k := s.count(c) / n) * math.log2(k) for c in set(s)) if n else 0.0
 
 
+def iban_checks(s: str) -> bool:
+    """Whether the check digits of a compact form are right (the remainder by 97 is 1)."""
+    c = s.replace(" ", "")
+    if not (15 <= len(c) <= 34 and c.isascii() and c.isalnum() and c[:2].isalpha() and c[2:4].isdigit()):
+        return False
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """Span without the punctuation around it; a bracket that opens a phone number stays, as a `key=` goes."""
     eq = text.rfind("=", start, end)
@@ -133,16 +146,24 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
         start = eq + 1
     elif start <= eq < end - 2 and text[eq + 1] in "\"'":
         start = eq + 2
-    while start < end and text[start] in _EDGE and not (text[start] == "(" and ")" in text[start:end]):
+    closing = text.rfind(")", start, end)
+    while start < end and text[start] in _EDGE and not (text[start] == "(" and closing >= start):
         start += 1
-    while start < end and text[end - 1] in _EDGE and not (text[end - 1] == ")" and "(" in text[start:end]):
+    opening = text.find("(", start, end)
+    while start < end and text[end - 1] in _EDGE and not (text[end - 1] == ")" and start <= opening < end):
         end -= 1
     return start, end
 
 
-def features(text: str, start: int, end: int, length: int, before: list[str]) -> np.ndarray:
+_CUE_KINDS = {w: [i for i, k in enumerate(CUES) if w in CUES[k]] for w in frozenset().union(*CUES.values())}
+_AT = ("@", "(at)", "[at]")
+#: What a segment of several tokens has to hold.
+_MARK = re.compile(r"[0-9@]|\((?:at|dot)\)|\[(?:at|dot)\]", re.I)
+
+
+def features(text: str, start: int, end: int, length: int, before: list[str]) -> list[float]:
     """Features of a whole segment: text[start:end] trimmed, its number of tokens, the lower-cased words before it."""
-    f = np.zeros(N_FEATURES)
+    f = [0.0] * N_FEATURES
     s = text[start:end]
     f[0] = 1.0
     f[1] = length > 1
@@ -150,61 +171,76 @@ def features(text: str, start: int, end: int, length: int, before: list[str]) ->
     if not s:
         return f
     n = len(s)
-    digits = sum(c in "0123456789" for c in s)
+    digits = sum(map(s.count, "0123456789"))
     alpha = sum(map(str.isalpha, s))
     f[3] = digits > 0
     f[4] = digits / n
     f[5] = 7 <= digits <= 15 and not alpha
     f[6] = digits == n and n > 4
-    f[7] = n >= 16 and " " not in s
-    f[8] = n >= 16 and " " not in s and entropy(s) > 3.0
+    if n >= 16 and " " not in s:
+        f[7] = 1.0
+        f[8] = entropy(s) > 3.0
     f[9] = alpha > 0 and digits > 0
-    f[10] = "@" in s or "(at)" in s.lower() or "[at]" in s.lower()
+    low = s.lower()
+    f[10] = any(x in low for x in _AT)
     f[11] = alpha == 0
     for i, kind in enumerate(MODEL_KINDS):
-        f[12 + i] = bool(_SHAPES[kind].fullmatch(s))
-        f[17 + i] = any(w in CUES[kind] for w in before[-2:])
-    f[22] = s[:4].isalpha() and digits == 0
-    f[23] = text[start - 1 : start] in "\"'=" if start else False
+        f[12 + i] = _SHAPES[kind].fullmatch(s) is not None
+    for w in before[-2:]:
+        for i in _CUE_KINDS.get(w, ()):
+            f[17 + i] = 1.0
+    f[22] = digits == 0 and s[:4].isalpha()
+    f[23] = start > 0 and text[start - 1] in "\"'="
     f[24] = bool(_DOT_AFTER.match(text, end, end + 16) or _DOT_BEFORE.search(text, max(0, start - 16), start))
+    f[25] = 15 <= n <= 64 and digits > 1 and iban_checks(s)
+    f[26] = 12 <= digits <= 19 and not alpha and luhn(only_digits(s))
     return f
 
 
+#: Tokens of a window whose segments are scored at a time.
+BLOCK_TOKENS = 1024
+
+
 class SpanModel:
     """Weights [kind, feature]; kind 0 is outside (segments of one token), others follow MODEL_KINDS."""
 
     def __init__(self, weights: np.ndarray | None = None):
         self.w = np.zeros((1 + len(MODEL_KINDS), N_FEATURES)) if weights is None else weights
 
-    def lattice(self, text: str, tokens: list[tuple[int, int]]):
-        """For each end j and length d: trimmed span and its features."""
-        lows = [text[s:e].lower().strip(_EDGE) for s, e in tokens]
+    def lattice(self, text: str, tokens: list[tuple[int, int]], first: int = 0, last: int | None = None):
+        """For each end j in (first, last] and length d: trimmed span and its features."""
+        last = len(tokens) if last is None else last
+        low = max(0, first - MAX_TOKENS - 3)
+        lows = [text[s:e].lower().strip(_EDGE) for s, e in tokens[low:last]]
+        marks = np.cumsum([0] + [_MARK.search(text, s, e) is not None for s, e in tokens[low:last]]).tolist()
         cells = []
-        for j in range(1, len(tokens) + 1):
+        for j in range(first + 1, last + 1):
             for d in range(1, min(MAX_TOKENS, j) + 1):
                 i = j - d
+                if d > 1:
+                    if tokens[j - 1][1] - tokens[i][0] > MAX_CHARS:
+                        break
+                    if marks[j - low] == marks[i - low]:
+                        continue
                 a, b = trimmed(text, tokens[i][0], tokens[j - 1][1])
-                inside = lows[i : i + 1] if "=" in text[tokens[i][0] : a] else []
-                before = lows[max(0, i - 2) : i] + [w.split("=")[0].strip("\"': ") for w in inside]
-                if before and before[-1] == "" and i >= 3:
-                    before = lows[i - 3 : i]
+                inside = lows[i - low : i - low + 1] if "=" in text[tokens[i][0] : a] else []
+                before = lows[max(0, i - low - 2) : i - low] + [w.split("=")[0].strip("\"': ") for w in inside]
+                if before and before[-1] == "" and i - low >= 3:
+                    before = lows[i - low - 3 : i - low]
                 cells.append((j, d, a, b, features(text, a, b, d, before)))
         return cells
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-        """Best segmentation: V[j] = max over lengths and kinds of V[j - d] + score."""
-        if not tokens:
-            return []
-        cells = self.lattice(text, tokens)
-        scores = np.stack([c[4] for c in cells]) @ self.w.T
+        """Best segmentation: V[j] = max over lengths and kinds of V[j - d] + score. Features are held for BLOCK_TOKENS tokens at a time."""
         best, back = [0.0] + [-math.inf] * len(tokens), [None] * (len(tokens) + 1)
-        for (j, d, a, b, _), row in zip(cells, scores):
-            for k in range(len(row)):
-                if k == 0 and d > 1:
-                    continue
-                v = best[j - d] + row[k]
-                if v > best[j]:
-                    best[j], back[j] = v, (d, k, a, b)
+        for first in range(0, len(tokens), BLOCK_TOKENS):
+            cells = self.lattice(text, tokens, first, min(len(tokens), first + BLOCK_TOKENS))
+            scores = (np.array([c[4] for c in cells], dtype=float) @ self.w.T).tolist()
+            for (j, d, a, b, _), row in zip(cells, scores):
+                base = best[j - d]
+                for k, v in enumerate(row):
+                    if base + v > best[j] and (k or d == 1):
+                        best[j], back[j] = base + v, (d, k, a, b)
         out, j = [], len(tokens)
         while j:
             d, k, a, b = back[j]
@@ -216,7 +252,7 @@ class SpanModel:
     def gradient(self, text: str, tokens, gold: list[tuple[int, int, str]]) -> np.ndarray:
         """Gradient of log p(gold | text): features of the gold segments less their expectation."""
         cells = self.lattice(text, tokens)
-        x = np.stack([c[4] for c in cells])
+        x = np.array([c[4] for c in cells], dtype=float)
         scores = x @ self.w.T
         n = len(tokens)
         for c, row in zip(cells, scores):
@@ -231,10 +267,10 @@ class SpanModel:
             bwd[j - d] = np.logaddexp(bwd[j - d], v + bwd[j])
         grad = np.zeros_like(self.w)
         for (j, d, *_), row, f in zip(cells, scores, x):
-            grad -= np.outer(np.exp(row + fwd[j - d] + bwd[j] - fwd[n]), f)
+            grad -= np.outer(np.exp(row + fwd[j - d] + bwd[j] - fwd[n]), np.array(f, dtype=float))
         starts = {s: i for i, (s, _) in enumerate(tokens)}
         covered = set()
-        by = {(c[0], c[1]): c[4] for c in cells}
+        by = {(c[0], c[1]): np.array(c[4], dtype=float) for c in cells}
         for s, e, kind in gold:
             i = starts[s]
             j = next(t for t in range(i + 1, n + 1) if tokens[t - 1][1] >= e)
@@ -255,7 +291,9 @@ def training_set(seed: int = 7, size: int = 240) -> list[tuple[str, list[tuple[i
     def iban() -> str:
         country = rnd.choice(sorted(IBAN_LENGTHS))
         head = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) if country in ("GB", "NL", "MT", "LC") else digit(4)
-        s = country + digit(2) + head + digit(IBAN_LENGTHS[country] - 4)
+        account = head + digit(IBAN_LENGTHS[country] - 4)
+        check = 98 - int("".join(str(int(x, 36)) for x in account + country + "00")) % 97
+        s = f"{country}{check:02d}{account}" if rnd.random() < 0.8 else f"{country}{digit(2)}{account}"
         return s if rnd.random() < 0.3 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
     make = {
@@ -344,6 +382,7 @@ def all_spans(text: str, model: SpanModel) -> tuple[list, list]:
     kinds = {k: i for i, k in enumerate((*BASE_KINDS, *MODEL_KINDS))}
     taken = sorted((s, e) for s, e, _ in base)
     found = [x for tokens in windows(text) for x in model.decode(text, tokens)]
+    found = [(s, m.end() if k == "email" and (m := _MORE_LABELS.match(text, e)) else e, k) for s, e, k in found]
     i, last = 0, -1
     for s, e, k in sorted(found):
         while i < len(taken) and taken[i][1] <= s:
