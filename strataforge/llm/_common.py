@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +25,31 @@ _SHIPPED: set[str] = set()
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _conf(spark: SparkSession, key: str) -> str | None:
+    """A setting with Spark's default, None where this version has no such setting."""
+    try:
+        return spark._jsparkSession.sessionState().conf().getConfString(key)
+    except Py4JJavaError:
+        return None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors where they don't share the driver's path."""
+    """Make this package importable on the executors where they don't share the driver's path.
+
+    Once a session, Arrow batches are bounded to BATCH_BYTES where the setting is still Spark's default of
+    64 MB: texts wait in such batches on both sides of the pipe, in every task.
+    """
     root = str(Path(__file__).resolve().parents[2])
+    if _conf(spark, _BATCH_KEY) in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -74,11 +93,12 @@ class Scratch:
     """Tables written to the shared folder: cut lineage, survive lost executors.
 
     `keep(df, name)` writes and rereads; `drop(name)` deletes a table that no later plan reads.
-    A narrow table behind a shuffle gets FILES_PER_CORE files a core at most, not one a partition.
-    What the caller's result still reads goes when the process ends, or with `drop_all`.
+    A narrow table behind a shuffle gets a file for FILE_PARTITIONS shuffle partitions, not for each (but
+    FILES_PER_CORE files a core at least). Operators drop what no later plan reads; what their result
+    still reads goes with the caller's `drop_all`, once the result is written.
     """
 
-    FILES_PER_CORE = 4
+    FILES_PER_CORE, FILE_PARTITIONS = 4, 8
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -86,7 +106,10 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         path = scratch_path(self.spark, name)
-        (df.coalesce(self.FILES_PER_CORE * self.spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+        if narrow:
+            shuffled = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(self.FILES_PER_CORE * self.spark.sparkContext.defaultParallelism, shuffled // self.FILE_PARTITIONS))
+        df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

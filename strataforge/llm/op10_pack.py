@@ -286,9 +286,9 @@ def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH, bucket_rows:
     return pieces.join(places, (F.col("row_id") == F.col("_row")) & (F.col("piece") == F.col("_piece"))).select(*narrow, "sequence_id", "offset", "ids")
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Pieces with their places, on request with their ids, from which the sequences can be built."""
-    return pack(tokenize(df, id_col, text_col, tokenizer, end_id, length, with_ids), Scratch(df.sparkSession), length)
+    return pack(tokenize(df, id_col, text_col, tokenizer, end_id, length, with_ids), scratch or Scratch(df.sparkSession), length)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

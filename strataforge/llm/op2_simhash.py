@@ -714,13 +714,13 @@ def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: st
     """
     part, links, sets, degree, k = distinct, None, None, CANDIDATE_DEGREE, 0
     while True:
-        found = scratch.keep(candidate_links(part, tau, degree=degree, parts=parts, least=None if k == 0 else least, column="wide", reach=reach, most=most), f"candidates{k}", narrow=True)
+        found = scratch.keep(candidate_links(part, tau, degree=degree, parts=parts, least=None if k == 0 else least, column="wide", reach=reach, most=most), f"candidates{k}")
         pairs = scratch.keep(found.where("not cut").select("u", "v").distinct(), f"pairs{k}", narrow=True)
         if sets is None:
             # whatever is left out has a link in the first round too, so these nodes are all that any round compares
             nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
             sets = scratch.keep(sets_of(node_texts(nodes, distinct, df, id_col, text_col), width), "sets")
-        good = scratch.keep(similar_links(pairs, sets, least), f"links{k}", narrow=True)
+        good = scratch.keep(similar_links(pairs, sets, least), f"links{k}")
         links = good if links is None else links.union(good)
         cut = scratch.keep(found.where("cut").select(F.col("u").alias("node")).distinct(), f"cut{k}", narrow=True)
         scratch.drop(f"candidates{k}", f"pairs{k}")
@@ -766,13 +766,13 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     return fps, groups
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **kw) -> DataFrame:
     """df's rows less near copies: of each group one row stays, that of the smallest (id, content); a null id is the largest.
 
     Rows are told apart by id and content (row_key), never by id alone: different texts of one id, or
     without ids, are documents of their own.
     """
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     fps, groups = near_duplicates(df, scratch, id_col, text_col, **kw)
     kept = scratch.keep(groups.select("low.*").distinct().toDF("_k0", "_k1", "_k2"), "kept", narrow=True)
     names = df.columns

@@ -218,9 +218,9 @@ def fit_thresholds(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return Scratch(df.sparkSession).keep(thresholds(sketch(metrics)), "fences", narrow=True)
 
 
-def filter_quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def filter_quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
     """The rows of df that pass, with df's columns. Rows are written with their counts, so that texts go to Python once and are never shuffled."""
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     at = lambda c: f"_c{names.index(c)}"

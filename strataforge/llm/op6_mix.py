@@ -148,10 +148,10 @@ def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 1.0, **kw) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 1.0, scratch: Scratch | None = None, **kw) -> DataFrame:
     """df's rows, each as often as the mix takes it. Texts are read twice but not shuffled."""
     names = df.columns
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     slim = scratch.keep(_slim(df, id_col, text_col, source_col).select("source", "size", "u"), "words")
     plan = scratch.keep(plan_mix(slim, scratch, power=power, **kw), "plan", narrow=True).withColumnRenamed("source", "p_source")
     scratch.drop("words", "sizes", "targets", "scales", "edge")
