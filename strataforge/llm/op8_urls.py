@@ -12,6 +12,7 @@ the result's are left out of the result.
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -91,23 +92,41 @@ class UrlModel:
         return float(1.0 / (1.0 + np.exp(-z)))
 
 
-def labelled_urls() -> list[tuple[str, bool]]:
-    """The small labelled table: invented hosts and paths, half of them to be blocked."""
-    bad = "cheap-pills casino-win free-bets spam-farm ads-track poker-bonus payday-loans replica-watch xxx-cams click-bait ad-server win-prize hot-singles viagra-shop slot-games bet-online malware-drop phish-login link-farm seo-spam adult-video crypto-double lottery-cash".split()
-    bad_paths = "win/jackpot buy-pills bonus/free-spins track/click?id=1 adserve/banner loan/apply-now xxx/gallery cheap/replica".split()
-    good = "news library museum university gardening kitchen history science weather football archive docs research journal travel cityhall recipes music astronomy chemistry poetry village school".split()
-    plain = "thorat erthan onwhin tionble haneres thning oredand ingthe ntiaer stonly ouerin andhet edreat whenti heation lyonst".split()
-    good_paths = "articles/2021/spring wiki/rivers about en/825 de/614.html fr/176/ es/978?page=2 blog/how-to-prune guide/first-steps papers/12".split()
-    tops = ("example.com", "example.net", "example.org", "test")
-    pre = ("", "www.", "blog.", "m.")
+#: Words of hosts and paths in the labelled table, from general knowledge of such sites. Fixed values.
+BAD_WORDS = (
+    "casino poker betting slots jackpot gambling bets viagra cialis pharmacy pills meds xanax porn xxx sex adult cams escort dating singles nude replica fake knockoff loans payday credit cash lottery winner prize giveaway "
+    "crypto doubler forex signals spam backlinks seo clickbait ads adserver banner popup tracker affiliate malware crack keygen warez torrent serials phishing verify-account miracle weightloss enlargement hot cheap discount free bonus win earn-money fast-cash"
+).split()
+GOOD_WORDS = (
+    "library museum history science physics botany chemistry geology astronomy weather news tribune herald gazette journal review archive research institute college university school teachers kids garden kitchen recipes bakery cooking farm village town city council parliament "
+    "embassy hospital clinic health medicine law economics statistics music opera theatre poetry books publisher cinema photo gallery architecture design engineering software developer docs wiki forum linux compiler hardware robotics railway sailing hiking mountain travel maps language "
+    "history-club chess football tennis swimming birds zoo animals forest river lake harbour island carpenter potter weaver church charity museum-shop radio television magazine podcast"
+).split()
+TOPS = "com org net info biz io de fr uk es it eu us co example test dev club site online".split()
+BAD_PATHS = "buy-now cheap/discount?aff=12 win/free-spins bonus/claim click?id=88&src=ad join/free xxx/gallery/7 hot/singles loan/apply casino/slots?ref=x order/no-prescription download/crack.exe verify/account promo/90-off".split()
+GOOD_PATHS = "about articles/2019/autumn-leaves wiki/Volcano news/local/council-meeting papers/2020/042.pdf courses/algebra/lesson-3 archive/1998/ contact events/calendar?month=5 docs/install.html gallery/landscapes blog/2021/06/building-a-shed recipes/onion-soup search?q=rivers".split()
+
+
+def labelled_urls(seed: int = 3, size: int = 1200) -> list[tuple[str, bool]]:
+    """The small labelled table: hosts of one or two words, or of syllables without meaning (fine, as most unknown hosts are).
+
+    Both kinds share top-level domains and prefixes. The host decides; paths of its kind are commoner, and many are mere numbers.
+    """
+    rnd = random.Random(seed)
+    name = lambda: "".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") + rnd.choice(["", "", "n", "r", "s"]) for _ in range(rnd.randint(2, 4)))
     out = []
-    for k, name in enumerate(bad):
-        for j in range(6):
-            path = bad_paths[(k + j) % len(bad_paths)] if j % 2 else good_paths[(k * 3 + j) % len(good_paths)]
-            out.append((f"http{'s' * (j % 2)}://{pre[(k + j) % 4]}{name}.{tops[(k + j * 3) % 4]}/{path}", True))
-    for k, name in enumerate(good + plain):
-        for j in range(4):
-            out.append((f"http{'s' * (j % 2)}://{pre[(k + j) % 4]}{name}.{tops[(k + j) % 4]}/{good_paths[(k + j * 3) % len(good_paths)]}", False))
+    for k in range(size):
+        bad = k % 3 == 0
+        words = BAD_WORDS if bad else GOOD_WORDS
+        if not bad and rnd.random() < 0.45:
+            host = name()
+        else:
+            host = rnd.choice(words)
+            if rnd.random() < 0.6:
+                host += rnd.choice(["-", "", "-"]) + rnd.choice([rnd.choice(words), rnd.choice(words), name(), rnd.choice(GOOD_WORDS)])
+        prefix = rnd.choice(["", "", "www.", "m.", "blog.", f"{name()}."])
+        path = rnd.choice(["", f"{rnd.randint(1, 999)}", f"page/{rnd.randint(1, 99)}", rnd.choice(BAD_PATHS if bad else GOOD_PATHS), rnd.choice(BAD_PATHS if bad else GOOD_PATHS), rnd.choice(GOOD_PATHS)])
+        out.append((f"http{rnd.choice(['', 's'])}://{prefix}{host}.{rnd.choice(TOPS)}/{path}", bad))
     return out
 
 
