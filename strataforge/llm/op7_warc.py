@@ -11,6 +11,8 @@ Files are written under the shared folder by a name that is new for each attempt
 row per archive is the output of the writing stage, and only archives in the manifest are read,
 so a lost executor or a second attempt leaves at most unread files.
 
+Archives stay, as they are the output; whoever wrote them deletes them.
+
 Defined cases: a null html is an empty payload; payloads under `least_bytes` are all responses;
 a null url is written as an empty target; rows equal in id and payload are each a record, and
 all with the smallest id are responses; a null id counts as larger than any other; an empty
@@ -37,7 +39,7 @@ from strataforge.llm._common import Scratch, scratch_path, table
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 LEVEL = 3
-DICT_BYTES = 64 << 10
+DICT_BYTES, SAMPLE_BYTES = 64 << 10, 16 << 10
 #: Raw bytes of records in an archive, and records; a longer record has an archive of its own.
 ARCHIVE_BYTES = 16 << 20
 ARCHIVE_RECORDS = 20_000
@@ -47,14 +49,19 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id, url: str, payload: bytes, digest: str, refers_to, date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its payload's size and digest stand in its header."""
+def record_id(page_id, url: str, copy: int = 0) -> str:
+    """Of a record: rows equal in id and url are told apart by their number in the archive."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}' + (f'|{copy}' if copy else ''))}>"
+
+
+def record(kind: str, page_id, url: str, payload: bytes, digest: str, refers_to, date: str = "2024-01-01T00:00:00Z", copy: int = 0, refers_to_url: str | None = None) -> bytes:
+    """One WARC/1.1 record. A revisit has no block; its payload's size and digest stand in its header, and what it refers to."""
     block = b"" if kind == "revisit" else payload
     name = lambda i: "" if i is None else str(i)
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}')}>",
+        f"WARC-Record-ID: {record_id(page_id, url, copy)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -62,7 +69,7 @@ def record(kind: str, page_id, url: str, payload: bytes, digest: str, refers_to,
         f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {name(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_to_url or '')}", f"WARC-Refers-To-Target-URI: {refers_to_url or ''}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {name(refers_to)}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     clean = [h.replace("\r", " ").replace("\n", " ") for h in head]
     return "\r\n".join(clean).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -80,21 +87,20 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def build_archive(records: list[bytes]) -> bytes:
+def build_archive(records: list[bytes], dict_bytes: int = DICT_BYTES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     """Skippable frame with the dictionary, then a frame for each record.
 
-    The dictionary is trained on all of the archive's records; where they are too few to train
-    on, it holds their beginnings as raw content.
+    The dictionary is trained on all bytes of the archive's records, long ones being several samples of
+    `sample_bytes`; where the trainer finds them too few or too alike, it holds their beginnings as raw content.
     """
     import zstandard as zstd
 
     total = sum(map(len, records))
-    size = max(256, min(DICT_BYTES, total // 20))
+    size = max(256, min(dict_bytes, total // 20))
+    samples = [r[i : i + sample_bytes] for r in records for i in range(0, len(r), sample_bytes)]
     try:
-        raw = zstd.train_dictionary(size, [r[: 128 << 10] for r in records], k=256, d=8, level=3).as_bytes() if len(records) >= 16 else b""
+        raw = zstd.train_dictionary(size, samples, k=256, d=8, level=3).as_bytes()
     except zstd.ZstdError:
-        raw = b""
-    if not raw:
         raw = b"".join(r[: max(64, size // max(1, len(records)))] for r in records)[:size]
     data = zstd.ZstdCompressionDict(raw)
     packer = zstd.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=True, write_content_size=True)
@@ -139,18 +145,20 @@ def _filesystem(uri: str):
 
 
 def classify(df: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int = 0) -> DataFrame:
-    """id, url, payload (null for revisits), payload_bytes, digest, first: the response's id.
+    """id, url, payload (null for revisits), payload_bytes, digest, refers_to (the response's id), refers_to_url.
 
-    The first of equal payloads is a minimum, summed up before the shuffle. Its table is joined
-    by digest alone; a digest of very many pages is a skewed join with a one-row side per key,
-    which Spark splits.
+    The first of equal payloads is a minimum over narrow rows, summed up before the shuffle. Its table, of the
+    digests that several pages share, is joined by digest alone: Spark broadcasts it where it is small, else
+    a digest of very many pages is a skewed join with a one-row side per key, which Spark splits.
     """
     raw = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    pages = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), raw.alias("payload"), F.length(raw).cast("long").alias("payload_bytes"), F.sha1(raw).alias("sha"))
-    first = df.select(F.col(id_col).alias("id"), F.sha1(raw).alias("sha2"), F.length(raw).alias("n")).where(F.col("n") >= least_bytes).groupBy("sha2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    j = pages.join(first.drop("n"), pages["sha"] == first["sha2"], "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
-    return j.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha", F.when(revisit, F.col("first")).alias("refers_to"))
+    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    pages = df.select(F.col(id_col).alias("id"), url.alias("url"), raw.alias("payload"), F.length(raw).cast("long").alias("payload_bytes"), F.sha1(raw).alias("sha"))
+    narrow = df.select(F.col(id_col).alias("id"), url.alias("url"), F.sha1(raw).alias("sha2"), F.length(raw).alias("n")).where(F.col("n") >= least_bytes)
+    first = narrow.groupBy("sha2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha2", F.col("first.id").alias("first"), F.col("first.url").alias("first_url"))
+    j = pages.join(first, pages["sha"] == first["sha2"], "left")
+    revisit = F.col("sha2").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    return j.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_to_url"))
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -163,7 +171,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
         held: list[bytes] = []
-        size = 0
+        size, copies = 0, {}
 
         def flush():
             blob = build_archive(held)
@@ -173,17 +181,19 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), *(pa.array([v], pa.int64()) for v in (len(held), size, len(blob)))], names=schema.names)
 
         for batch in batches:
-            ids, urls, payloads, sizes, shas, refs = (c for c in batch.columns)
+            ids, urls, payloads, sizes, shas, refs, ref_urls = batch.columns
             for i in range(batch.num_rows):
                 payload, page, ref = payloads[i].as_py(), ids[i].as_py(), refs[i].as_py()
                 digest = base64.b32encode(bytes.fromhex(shas[i].as_py())).decode()
+                url = urls[i].as_py()
+                copy = copies[page, url] = copies.get((page, url), -1) + 1
                 if payload is None:
-                    r = record_header_only(page, urls[i].as_py(), sizes[i].as_py(), digest, ref)
+                    r = record_header_only(page, url, sizes[i].as_py(), digest, ref, ref_urls[i].as_py(), copy)
                 else:
-                    r = record("response", page, urls[i].as_py(), payload, digest, None)
+                    r = record("response", page, url, payload, digest, None, copy=copy)
                 if held and (size + len(r) > ARCHIVE_BYTES or len(held) >= ARCHIVE_RECORDS):
                     yield flush()
-                    held, size = [], 0
+                    held, size, copies = [], 0, {}
                 held.append(r)
                 size += len(r)
         if held:
@@ -192,9 +202,9 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return scratch.keep(rows.mapInArrow(write, schema), "manifest")
 
 
-def record_header_only(page_id, url: str, payload_bytes: int, digest: str, refers_to) -> bytes:
+def record_header_only(page_id, url: str, payload_bytes: int, digest: str, refers_to, refers_to_url: str | None = None, copy: int = 0) -> bytes:
     """A revisit record, from the payload's size."""
-    r = record("revisit", page_id, url, b"", digest, refers_to)
+    r = record("revisit", page_id, url, b"", digest, refers_to, copy=copy, refers_to_url=refers_to_url)
     return r.replace(b"X-Payload-Length: 0\r\n", f"X-Payload-Length: {payload_bytes}\r\n".encode(), 1)
 
 

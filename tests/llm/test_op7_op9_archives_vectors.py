@@ -98,6 +98,37 @@ def test_recall_at_the_threshold(spark, cosine, least):
     assert sum(r["n_links"] for r in emb.embedding_groups(df).collect()) >= least * total
 
 
+def test_exact_links_are_all_links(spark):
+    rng = np.random.default_rng(3)
+    for ids, x in (clusters(5, 600, 8), (np.arange(700), rng.normal(size=(700, 5)).astype(np.float32))):
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+        for list_rows in (2048, 60):
+            got = {r["vec_id"]: (r["n_links"], r["component"]) for r in emb.embedding_groups(df, exact=True, list_rows=list_rows).collect()}
+            assert got == brute(ids, x)
+
+
+def test_every_dimension_is_indexed(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for d, n in ((3, 200), (2, 90), (7, 2), (1, 5), (64, 1)):
+        x = rng.normal(size=(n, d)).astype(np.float32)
+        x[n // 2 :] = x[: n - n // 2] * 2  # a copy in direction of each
+        ids = np.arange(n) + 1000 * d
+        rows += [(int(i), v.tolist()) for i, v in zip(ids, x)]
+        want |= brute(ids, x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {r["vec_id"]: (r["n_links"], r["component"]) for r in emb.embedding_groups(df, exact=True).collect()} == want
+    got = {r["vec_id"]: r["n_links"] for r in emb.embedding_groups(df).collect()}
+    assert all(got[i] <= n and (got[i] > 0) == (n > 0) for i, (n, _) in want.items()) and sum(got.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
+def test_shared_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [0.0, -1.0]), (4, [0.01, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component"])) for r in emb.embedding_groups(df).collect())
+    assert got == sorted([("1", 0, "1"), ("1", 1, "1"), ("4", 1, "1"), ("None", 0, "None"), ("None", 0, "None")])
+
+
 def test_odd_vectors(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.01]), (None, [3.0, 0.0]), (7, [1.0]), (8, []), (9, [float("inf"), 1.0]), (10, [-1.0, 0.0]), (11, [1e-30, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
