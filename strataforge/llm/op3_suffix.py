@@ -5,19 +5,18 @@ document of smaller id or in the same one.
 
 1. Anchors: every window names its smallest hashed `gram`-byte gram (leftmost on ties), which
    depends on the window's bytes only, so equal windows have equal anchors. Runs of windows with
-   one anchor are one record (anchor's hash, hash of the run's bytes, document, place): about one per
-   (length - gram) / 2 bytes, each 32 bytes, sent in packed blocks. A record whose run equals an
-   earlier one in its batch is settled there: all its windows repeat.
-2. By anchor: equal runs are settled the same way; the earliest of each run stays, and only
-   where an anchor has different runs are their bytes fetched.
-3. Suffix sort: the windows of these runs are sorted by deep-shallow sorting, multikey
-   quicksort on 8-byte characters to a shallow depth, then a blind trie for each group of
-   longer common prefix. Windows equal over `length` bytes come together; all but the
-   earliest are repeats.
+   one anchor are one record (anchor's hash, document, place): about one per (length - gram) / 2 bytes,
+   each 24 bytes, sent in packed blocks. A run equal to an earlier one in its batch, byte for byte, is
+   settled there: all its windows repeat.
+2. By anchor: runs of anchors that occur once can't repeat; the bytes of all others are fetched.
+3. Suffix sort: the runs of an anchor are sorted by deep-shallow sorting, multikey quicksort on 8-byte
+   characters to a shallow depth, then a blind trie for each group of longer common prefix. Of equal runs
+   all but the earliest repeat. The windows of the different runs are sorted in the same way: windows
+   equal over `length` bytes come together, and all but the earliest are repeats.
 4. Per document the repeats' ranges are merged and the rest is hashed.
 
-Texts are shuffled twice (by document, for 3 and 4), never grouped. Nothing depends on hashes
-alone but the equality of runs (128 bits).
+Texts are shuffled twice (by document, for 3 and 4), never grouped. Hashes only bring together what may
+be equal; bytes decide.
 
 Defined cases: a null text is empty; a text shorter than `length` keeps all its bytes; rows of one id are
 one document (equal rows do not repeat each other, ranges are shared); a null id counts as larger
@@ -35,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm._common import Scratch, table
+from strataforge.llm._common import Scratch, slices, table
 
 LENGTH = 100
 GRAM = 36
 NO_ID = (1 << 63) - 1
 BLOCK = 1 << 18
+#: Bytes of texts among which equal runs are settled before anything is sent.
+BATCH_BYTES = 16 << 20
 _BITS = np.uint64(20)
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -156,7 +157,7 @@ def batch_records(ids: np.ndarray, texts: list[bytes], length: int, gram: int):
 def settle(ah: np.ndarray, ch: np.ndarray, doc: np.ndarray, place: np.ndarray):
     """For records of equal (ah, ch): (order, repeats, firsts). order sorts by (ah, ch, doc, place); the others flag positions in it.
 
-    A record that is the earliest itself (an equal row's) is neither.
+    Equal hashes only propose: the caller compares bytes. A record that is the earliest itself (an equal row's) is neither.
     """
     order = np.lexsort((place, doc, ch, ah))
     a, c, d, p = ah[order], ch[order], doc[order], place[order]
@@ -228,102 +229,153 @@ class BlindTrie:
                 yield node[1]
 
 
-def deep_shallow_sort(data: bytes, starts: np.ndarray, depth: int, shallow_words: int = SHALLOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(order, classes): starts[order] are the suffixes of data sorted by their first `depth` bytes, classes numbers equal ones.
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Sorts order[...] within the groups of equal numbers by the 8-byte characters words[start], words[start + 8], ..., levels[item] of them.
 
-    Multikey quicksort with characters of 8 bytes runs on all groups at once: groups that still
-    tie are split by their next character. From the shallow depth on, a group whose members
-    are all equal is done, and any other goes through a blind trie.
+    Three-way partitioning of all open groups at once: each has a pivot, the median of the characters of its
+    first, middle and last member; smaller and larger members stay at their character, equal ones
+    go on to the next. Returns the new groups: position of each group's first member.
+    """
+    n = len(order)
+    group = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(n), 0))
+    level = np.zeros(n, dtype=np.int64)  # by position
+    todo = np.arange(n)
+    while True:
+        alike = group[todo][1:] == group[todo][:-1]
+        several = np.concatenate((alike, [False])) | np.concatenate(([False], alike))
+        todo = todo[several & (level[todo] < levels[order[todo]])]
+        if not len(todo):
+            return group
+        at = np.flatnonzero(np.concatenate(([True], group[todo][1:] != group[todo][:-1])))
+        size = np.diff(np.append(at, len(todo)))
+        own = np.repeat(np.arange(len(at)), size)
+        key = words[starts[order[todo]] + 8 * level[todo]]
+        pivot = _middle(key[at], key[at + size // 2], key[at + size - 1])
+        side = np.where(key < pivot[own], 0, np.where(key == pivot[own], 1, 2))
+        rank = own * 3 + side
+        s = np.argsort(rank, kind="stable")
+        order[todo], level[todo], rank = order[todo][s], level[todo][s] + (side[s] == 1), rank[s]
+        new = np.concatenate(([True], rank[1:] != rank[:-1]))
+        group[todo] = np.maximum.accumulate(np.where(new, todo, 0))
+
+
+def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def deep_shallow_sort(data: bytes, starts: np.ndarray, depth: int | np.ndarray, group: np.ndarray | None = None, shallow_words: int = SHALLOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(order, classes): starts[order] are the suffixes of data sorted within groups by their first `depth` bytes, classes numbers equal ones.
+
+    group: sorted numbers of groups that are apart anyway, of one depth each (None: one group). From the
+    shallow depth on, a group whose members are all equal is done, and any other goes through a blind trie.
     """
-    text = np.frombuffer(data + bytes(8), dtype=np.uint8)
     n = len(starts)
     order = np.arange(n)
     if not n:
         return order, order
+    text = np.frombuffer(data + bytes(8), dtype=np.uint8)
     # big-endian words at every position
     words = np.zeros(len(text) - 7, dtype=np.uint64)
     for k in range(8):
         words = (words << np.uint64(8)) | text[k : len(text) - 7 + k]
-    group = np.zeros(n, dtype=np.int64)  # by position in order; numbered by the group's first position
-    todo = np.arange(n)
-    for level in range(min(shallow_words, depth // 8)):
-        key = words[starts[order[todo]] + 8 * level]
-        s = np.lexsort((key, group[todo]))
-        order[todo] = order[todo][s]
-        key, g = key[s], group[todo]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
-        group[todo] = np.maximum.accumulate(np.where(new, todo, 0))
-        lone = new & np.append(new[1:], True)
-        todo = todo[~lone]
-        if not len(todo):
-            break
-    done = 8 * min(shallow_words, depth // 8)
-    if len(todo) and done < depth:
-        at = np.flatnonzero(np.concatenate(([True], group[todo][1:] != group[todo][:-1])))
-        bounds = np.append(at, len(todo))
-        # members against their group's first, by words that may overlap at the end
-        lead = np.repeat(todo[at], np.diff(bounds))
-        differs = np.zeros(len(todo), dtype=bool)
-        for off in [*range(done, depth - 7, 8), depth - 8]:
-            differs |= words[starts[order[todo]] + off] != words[starts[order[lead]] + off]
-        mixed = np.add.reduceat(differs, at) > 0
-        for b, e in zip(bounds[:-1][mixed], bounds[1:][mixed]):
-            where = todo[b:e]
-            trie = BlindTrie(done, depth)
-            for item in order[where].tolist():
-                s = int(starts[item])
-                trie.insert(data[s + done : s + depth], item)
-            k = 0
-            for items in trie.ordered():
-                order[where[k] : where[k] + len(items)] = items
-                group[where[k] : where[k] + len(items)] = where[k]
-                k += len(items)
+    depth = np.broadcast_to(np.asarray(depth, dtype=np.int64), (n,))
+    levels = np.minimum(shallow_words, depth // 8)
+    group = multikey_quicksort(words, starts, order, np.zeros(n, dtype=np.int64) if group is None else group, levels)
+    alike = group[1:] == group[:-1]
+    todo = np.flatnonzero((np.concatenate((alike, [False])) | np.concatenate(([False], alike))) & (8 * levels[order] < depth[order]))
+    if not len(todo):
+        return order, group
+    at = np.flatnonzero(np.concatenate(([True], group[todo][1:] != group[todo][:-1])))
+    bounds = np.append(at, len(todo))
+    # members against their group's first, by words that may overlap at the end
+    lead = np.repeat(todo[at], np.diff(bounds))
+    differs = np.zeros(len(todo), dtype=bool)
+    last, one, two = depth[order[todo]] - 8, starts[order[todo]], starts[order[lead]]
+    for off in range(8 * int(levels[order[todo]].min()), int(last.max()) + 8, 8):
+        o = np.minimum(off, last)
+        differs |= words[one + np.maximum(o, 0)] != words[two + np.maximum(o, 0)]
+    mixed = np.add.reduceat(differs, at) > 0
+    for b, e in zip(bounds[:-1][mixed], bounds[1:][mixed]):
+        where = todo[b:e]
+        done, end = 8 * int(levels[order[where[0]]]), int(depth[order[where[0]]])
+        trie = BlindTrie(done, end)
+        for item in order[where].tolist():
+            s = int(starts[item])
+            trie.insert(data[s + done : s + end], item)
+        k = 0
+        for items in trie.ordered():
+            order[where[k] : where[k] + len(items)] = items
+            group[where[k] : where[k] + len(items)] = where[k]
+            k += len(items)
     return order, group
 
 
-def repeated_windows(data: bytes, starts: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Flags of the windows that are not the earliest of their class."""
-    order, group = deep_shallow_sort(data, starts, length)
-    flags = np.zeros(len(starts), dtype=bool)
-    if not len(starts):
-        return flags
-    s = np.lexsort((place[order], doc[order], group))
-    g, d, p, o = group[s], doc[order][s], place[order][s], order[s]
+def not_earliest(order: np.ndarray, classes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flags of the items that are not the earliest (doc, place) of their class, items that stand for their class)."""
+    flags = np.zeros(len(order), dtype=bool)
+    if not len(order):
+        return flags, order
+    s = np.lexsort((place[order], doc[order], classes))
+    g, d, p, o = classes[s], doc[order][s], place[order][s], order[s]
     first = np.concatenate(([True], g[1:] != g[:-1]))
     lead = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
-    flags[o] = ~first & ((d != d[lead]) | (p != p[lead]))
-    return flags
+    flags[o] = ~first & ((d != d[lead]) | (p != p[lead]))  # an equal row's is neither
+    return flags, o[first]
+
+
+def repeated_windows(data: bytes, starts: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int, group: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the windows that are not the earliest of their class."""
+    return not_earliest(*deep_shallow_sort(data, starts, length, group), doc, place)[0]
 
 
 # ---- stages -------------------------------------------------------------------------------
 
 
+def same_bytes(texts: dict[int, bytes], doc: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+    """Whether runs i and j are equal byte for byte."""
+    start, end = ranges_of(place, length)
+    return np.fromiter(
+        (texts[a][s:e] == texts[b][t:f] for a, s, e, b, t, f in zip(*(x.tolist() for x in (doc[i], start[i], end[i], doc[j], start[j], end[j])))), dtype=bool, count=len(i)
+    )
+
+
 def _emit_records(buckets: int, length: int, gram: int):
     shift = np.uint64(40)
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            texts = [t.as_py() or b"" for t in batch.column(1)]
-            rec = batch_records(ids, texts, length, gram)
-            if not len(rec[0]):
-                continue
-            order, repeat, first = settle(*rec)
-            rec = [c[order] for c in rec]
-            for kind, flag in ((0, repeat), (1, first)):
-                part = [c[flag] for c in rec]
-                if kind == 0:
-                    b = (part[2].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                else:
-                    b = ((part[0].view(np.uint64) >> shift) % np.uint64(buckets)).astype(np.int64)
-                o = np.argsort(b, kind="stable")
-                b, part = b[o], [c[o] for c in part]
-                at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
-                bounds = np.append(at, len(b)).astype(np.int64)
-                for i in range(0, len(bounds) - 1, 64):
-                    cut = bounds[i : i + 65]
-                    blobs = [np.stack([c[s:e] for c in part]).tobytes() for s, e in zip(cut[:-1], cut[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]]), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+        for whole in batches:
+            for batch in slices(whole, BATCH_BYTES):
+                yield from of(batch)
+
+    def of(batch):
+        ids = batch.column(0).to_numpy()
+        texts = [t.as_py() or b"" for t in batch.column(1)]
+        rec = batch_records(ids, texts, length, gram)
+        if not len(rec[0]):
+            return
+        order, repeat, first = settle(*rec)
+        ah, _, doc, place = [c[order] for c in rec]
+        by_id = dict(zip(ids.tolist(), texts))
+        if len(by_id) == len(texts):
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(ah)), 0))
+            at = np.flatnonzero(repeat)
+            repeat[at] = same_bytes(by_id, doc, place, at, lead[at], length)
+        else:  # different rows of one id: theirs are left to the sort
+            repeat[:] = False
+        for kind, flag in ((0, repeat), (1, ~repeat)):
+            part = [c[flag] for c in (ah, doc, place)]
+            if kind == 0:
+                b = (part[1].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            else:
+                b = ((part[0].view(np.uint64) >> shift) % np.uint64(buckets)).astype(np.int64)
+            o = np.argsort(b, kind="stable")
+            b, part = b[o], [c[o] for c in part]
+            at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
+            bounds = np.append(at, len(b)).astype(np.int64)
+            for i in range(0, len(bounds) - 1, 64):
+                cut = bounds[i : i + 65]
+                blobs = [np.stack([c[s:e] for c in part]).tobytes() for s, e in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]]), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
     return run
 
@@ -352,9 +404,9 @@ def _settle_buckets(batches):
     def one(held):
         parts = {0: [], 1: []}
         for k, blob in held:
-            parts[k].append(np.frombuffer(blob, dtype=np.int64).reshape(4, -1))
+            parts[k].append(np.frombuffer(blob, dtype=np.int64).reshape(3, -1))
         for p in parts[0]:
-            yield from _rows(p[2], 0, p[0], p[3])
+            yield from _rows(p[1], 0, p[0], p[2])
         if not parts[1]:
             return
         rec = np.concatenate(parts[1], axis=1)
@@ -362,70 +414,87 @@ def _settle_buckets(batches):
         o = np.argsort(rec[0], kind="stable")
         a = rec[0][o]
         same = a[1:] == a[:-1]
-        often = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        rec = rec[:, o[often]]
-        if not rec.shape[1]:
-            return
-        order, repeat, first = settle(*rec)
-        rec = rec[:, order]
-        yield from _rows(rec[2][repeat], 0, rec[0][repeat], rec[3][repeat])
-        lone = rec[:, first]
-        a = lone[0]
-        same = a[1:] == a[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        yield from _rows(lone[2][several], 1, a[several], lone[3][several])
+        rec = rec[:, o[np.concatenate((same, [False])) | np.concatenate(([False], same))]]
+        yield from _rows(rec[1], 1, rec[0], rec[2])
 
     return _by_bucket(batches, one)
 
 
 def _fetch(buckets: int, length: int):
-    """(doc, text, [(ah, place)]) -> blocks of runs: numbers of records, their longs, and their bytes."""
+    """(doc, text, [(ah, place)]) -> blocks of runs, compressed: their number, their longs, and their bytes."""
 
     def run(batches):
-        for batch in batches:
-            docs, texts, needs = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            flat = needs.flatten()
-            ah, place = (flat.field(i).to_numpy() for i in (0, 1))
-            doc_at = np.repeat(np.arange(len(docs)), np.diff(needs.offsets.to_numpy()))
-            bucket = (_mix(ah.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            bounds = np.append(np.flatnonzero(np.concatenate(([True], bucket[o][1:] != bucket[o][:-1]))), len(o)) if len(o) else np.zeros(1, dtype=np.int64)
-            held = {}
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                r = o[s:e]
-                body = []
-                for i, p in zip(doc_at[r].tolist(), place[r].tolist()):
-                    if i not in held:
-                        held[i] = texts[i].as_py() or b""
-                    body.append(held[i][p >> 8 : (p >> 8) + (p & 255) + length - 1])
-                head = np.stack([docs[doc_at[r]], place[r], np.fromiter(map(len, body), dtype=np.int64, count=len(body))])
-                blob = len(r).to_bytes(8, "little") + head.tobytes() + b"".join(body)
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[r[0]])]), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for whole in batches:
+            for batch in slices(whole, BATCH_BYTES):
+                docs, texts, needs = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                flat = needs.flatten()
+                ah, place = (flat.field(i).to_numpy() for i in (0, 1))
+                doc_at = np.repeat(np.arange(len(docs)), np.diff(needs.offsets.to_numpy()))
+                bucket = (_mix(ah.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                o = np.argsort(bucket, kind="stable")
+                bounds = np.append(np.flatnonzero(np.concatenate(([True], bucket[o][1:] != bucket[o][:-1]))), len(o)) if len(o) else np.zeros(1, dtype=np.int64)
+                raw = {i: texts[i].as_py() or b"" for i in np.unique(doc_at).tolist()}
+                names, blobs = [], []
+                for s, e in zip(bounds[:-1], bounds[1:]):
+                    r = o[s:e]
+                    body = [raw[i][p >> 8 : (p >> 8) + (p & 255) + length - 1] for i, p in zip(doc_at[r].tolist(), place[r].tolist())]
+                    head = np.stack([ah[r], docs[doc_at[r]], place[r], np.fromiter(map(len, body), dtype=np.int64, count=len(body))])
+                    names.append(int(bucket[r[0]]))
+                    blobs.append(pack(len(r).to_bytes(8, "little") + head.tobytes() + b"".join(body)))
+                    if len(blobs) == 64 or e == len(o):
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([1] * len(names), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+                        names, blobs = [], []
 
     return run
 
 
+def settle_runs(ah: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, place) of the repeats among the runs whose bytes stand one after another in data: whole runs, and ranges of windows."""
+    base = np.cumsum(size) - size
+    fits = (place & 255) + length - 1 == size  # not so where different rows have one id
+    ah, doc, place, size, base = (x[fits] for x in (ah, doc, place, size, base))
+    o = np.lexsort((size, ah))
+    ah, doc, place, size, base = (x[o] for x in (ah, doc, place, size, base))
+    if not len(ah):
+        return doc, place
+    apart = np.concatenate(([True], (ah[1:] != ah[:-1]) | (size[1:] != size[:-1])))
+    again, lead = not_earliest(*deep_shallow_sort(data, base, size, np.cumsum(apart)), doc, place)
+    whole = doc[again], place[again]
+    # the windows of anchors that have different runs
+    lead = np.sort(lead)
+    a = ah[lead]
+    same = a[1:] == a[:-1]
+    lead = lead[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(a) else lead
+    count = place[lead] & 255
+    rec = np.repeat(lead, count)
+    off = np.arange(len(rec)) - np.repeat(np.cumsum(count) - count, count)
+    start = (place[rec] >> 8) + off
+    flags = repeated_windows(data, base[rec] + off, doc[rec], start, length, ah[rec])
+    d, s = doc[rec][flags], start[flags]
+    # windows next to each other become one range, of 255 windows at most
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (rec[flags][1:] != rec[flags][:-1]))) if len(d) else np.zeros(0, dtype=bool)
+    b = np.flatnonzero(new)
+    n = np.diff(np.append(b, len(d)))
+    return np.concatenate((whole[0], d[b])), np.concatenate((whole[1], pack_place(s[b], n)))
+
+
 def _sort_buckets(length: int):
     def one(held):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         heads, bodies = [], []
         for _, blob in held:
+            blob = unpack(blob)
             n = int.from_bytes(blob[:8], "little")
-            heads.append(np.frombuffer(blob, dtype=np.int64, count=3 * n, offset=8).reshape(3, n))
-            bodies.append(blob[8 + 24 * n :])
-        doc, place, size = np.concatenate(heads, axis=1)
-        data = b"".join(bodies)
-        base = np.cumsum(size) - size
-        windows = size - length + 1  # rows of one id with different texts may be too short here
-        rec = np.repeat(np.arange(len(doc)), np.maximum(windows, 0))
-        off = np.arange(len(rec)) - np.repeat(np.cumsum(np.maximum(windows, 0)) - np.maximum(windows, 0), np.maximum(windows, 0))
-        start = (place[rec] >> 8) + off
-        flags = repeated_windows(data, base[rec] + off, doc[rec], start, length)
-        d, s = doc[rec][flags], start[flags]
-        # windows next to each other become one range
-        new = np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))) if len(d) else np.zeros(0, dtype=bool)
-        b = np.flatnonzero(new)
-        count = np.diff(np.append(b, len(d)))
-        yield from _rows(d[b], 0, np.zeros(len(b), dtype=np.int64), pack_place(s[b], count))
+            heads.append(np.frombuffer(blob, dtype=np.int64, count=4 * n, offset=8).reshape(4, n))
+            bodies.append(blob[8 + 32 * n :])
+        ah, doc, place, size = np.concatenate(heads, axis=1)
+        d, p = settle_runs(ah, doc, place, size, b"".join(bodies), length)
+        yield from _rows(d, 0, np.zeros(len(d), dtype=np.int64), p)
 
     return lambda batches: _by_bucket(batches, one)
 
@@ -472,8 +541,9 @@ def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("raw"))
     total = docs.agg(F.sum(F.length("raw").cast("long"))).first()[0] or 0
-    # records of 32 bytes, about 8 MB of them in a bucket
-    buckets = max(16, -(-total * 2 * 32 // ((length - gram) * (8 << 20))))
+    # buckets of about 1 MB of records, so that partitions get many of them; where partitions are few for the table, of up to 8 MB
+    size = total * 2 * 24 // (length - gram)
+    buckets = max(16, size >> 23, min(size >> 20, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     records = docs.mapInArrow(_emit_records(buckets, length, gram), "bucket long, kind int, blob binary")
     found = scratch.keep(records.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle_buckets, "doc long, kind int, ah long, place long"), "found")
     release(spark)

@@ -29,7 +29,7 @@ def brute(rows, length):
 def test_deep_shallow_sort(data, shallow):
     data += data[:40] + b"ab" * 30
     starts = np.arange(len(data) - 20 + 1)
-    order, group = suf.deep_shallow_sort(data, starts, 20, shallow)
+    order, group = suf.deep_shallow_sort(data, starts, 20, shallow_words=shallow)
     s = [data[i : i + 20] for i in starts[order]]
     assert s == sorted(s) and all((a == b) == (x == y) for a, b, x, y in zip(s, s[1:], group, group[1:]))
 
@@ -91,3 +91,42 @@ def test_other_lengths(spark, length, gram):
     docs = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 120)))) for i in range(60)]
     got = {r["doc_id"]: tuple(r)[1:] for r in suf.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=length, gram=gram).collect()}
     assert got == brute(docs, length)
+
+
+def test_groups_of_different_depths():
+    rnd = random.Random(7)
+    data = "".join(rnd.choice("ab") for _ in range(3000)).encode() * 2
+    starts = np.array([rnd.randrange(5800) for _ in range(900)])
+    group = np.sort(np.array([rnd.randrange(30) for _ in range(900)]))
+    depth = 10 + 4 * group  # one depth in each group
+    order, classes = suf.deep_shallow_sort(data, starts, depth, group)
+    assert (group[order] == group).all()
+    s = [(int(g), data[i : i + d]) for g, i, d in zip(group, starts[order], depth)]
+    assert s == sorted(s) and all((a == b) == (x == y) for a, b, x, y in zip(s, s[1:], classes, classes[1:]))
+
+
+def test_equal_hashes_alone_remove_nothing(spark, monkeypatch):
+    """Where all runs and anchors have one hash, bytes still decide."""
+    rnd = random.Random(3)
+    docs = [(i, "".join(rnd.choice("abcdef") for _ in range(rnd.randint(100, 400)))) for i in range(30)]
+    docs += [(100 + i, docs[i][1][20:180]) for i in range(10)]
+
+    def one_hash(ids, texts, length, gram, f=suf.batch_records):
+        ah, ch, doc, place = f(ids, texts, length, gram)
+        return ah * 0, ch * 0, doc, place
+
+    rec = one_hash(np.array([d for d, _ in docs]), [t.encode() for _, t in docs], 60, 20)
+    order, repeat, first = suf.settle(*rec)
+    _, _, doc, place = (c[order] for c in rec)
+    at, lead = np.flatnonzero(repeat), np.zeros(int(repeat.sum()), dtype=np.int64)
+    texts = {d: t.encode() for d, t in docs}
+    start, end = suf.ranges_of(place, 60)
+    same = suf.same_bytes(texts, doc, place, at, lead, 60)
+    assert same.tolist() == [texts[int(doc[i])][start[i] : end[i]] == texts[int(doc[0])][start[0] : end[0]] for i in at] and not same.all()
+    size = end - start
+    data = b"".join(texts[int(d)][s:e] for d, s, e in zip(doc, start, end))
+    d, p = suf.settle_runs(np.zeros(len(doc), dtype=np.int64), doc, place, size, data, 60)
+    covered = {i: np.zeros(len(t), dtype=bool) for i, t in docs}
+    for i, s, e in zip(d.tolist(), *(x.tolist() for x in suf.ranges_of(p, 60))):
+        covered[i][s:e] = True
+    assert {i: int(c.sum()) for i, c in covered.items()} == {i: n for i, (_, n, _, _) in brute(docs, 60).items()}
