@@ -116,7 +116,7 @@ class SimilarityMatch:
     table_b: str
     column_b: str
     name_similarity: float
-    stat_similarity: float
+    statistical_similarity: float
     value_overlap: float
     composite_score: float
     match_type: str

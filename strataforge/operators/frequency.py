@@ -177,14 +177,46 @@ def inferred_types(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: list[str], error: float = 0.0, probabilities=(0.25, 0.5, 0.75)) -> dict[str, tuple[float, ...] | None]:
-    """Quantiles of numeric columns from one pass; None where a column has no value."""
+    """Quantiles of numeric columns; None where a column has no value. error 0: exact, from counts of values."""
     if not columns:
         return {}
+    if error <= 0:
+        return _exact_quantiles(df, columns, probabilities)
     plain = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     found = plain.approxQuantile(plain.columns, list(probabilities), error)
     return {c: tuple(q) if q else None for c, q in zip(columns, found)}
 
 
+#: Bins that exact quantiles look through a column by.
+QUANTILE_BINS = 128
+
+
+def _exact_quantiles(df: DataFrame, columns: list[str], probabilities) -> dict[str, tuple[float, ...] | None]:
+    """The smallest value up to which a share p of the rows lies.
+
+    Approximate quantiles cut every column into QUANTILE_BINS bins; counts per bin (so many rows a column) tell
+    the bin of each rank, and only that bin's values, about one in QUANTILE_BINS, are put in order.
+    """
+    plain = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    grid = [k / QUANTILE_BINS for k in range(1, QUANTILE_BINS)]
+    edges = [sorted(set(e)) for e in plain.approxQuantile(plain.columns, grid, 0.25 / QUANTILE_BINS)]
+    bounds = F.array(*[F.array(*map(F.lit, e)).cast("array<double>") for e in edges])
+    cells = plain.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(plain.columns)]))).where("v IS NOT NULL")
+    counts = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.size(F.filter(bounds[F.col("i")], lambda b: b < F.col("v"))))
+    with_base = counts.groupBy("i", "bin").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("i").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    with_base = with_base.withColumns({"base": upto - F.col("n"), "upto": upto, "total": F.sum("n").over(W.partitionBy("i"))})
+    ranks = with_base.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("k", "p")).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1)))
+    ranks = ranks.where("base < rank AND rank <= upto").select(F.col("i").alias("ri"), F.col("bin").alias("rbin"), "base", "k", "rank")
+    inside = counts.join(F.broadcast(ranks), (F.col("i") == F.col("ri")) & (F.col("bin") == F.col("rbin")))  # ranks: a row a column and probability
+    seen = F.col("base") + F.sum("n").over(W.partitionBy("i", "k").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    rows = inside.withColumn("seen", seen).where("seen >= rank").groupBy("i", "k").agg(F.min("v").alias("v")).collect()
+    found: dict[int, dict[int, float]] = {}
+    for r in rows:
+        found.setdefault(r["i"], {})[r["k"]] = r["v"]
+    return {c: tuple(found[i][k] for k in range(len(probabilities))) if i in found else None for i, c in enumerate(columns)}
+
+
 def bottom_hash_values(values: DataFrame, n: int) -> DataFrame:
     """(col, value) -> the n values of each col with the smallest hashes: the same values wherever they occur."""
     rank = F.row_number().over(W.partitionBy("col").orderBy(F.xxhash64("value"), "value"))

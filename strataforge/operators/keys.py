@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +78,16 @@ def _candidate(table: str, p: ColumnProfile, deduped: float | None, cfg: Analysi
     why = []
     parts = {"uniqueness": min(1.0, unique / cfg.uniqueness_threshold), "nulls": 1.0 - p.null_rate, "pattern": 0.0, "name": 0.0}
     if unique >= cfg.uniqueness_threshold:
-        why.append(f"High uniqueness ({unique:.2%})" if unique == p.uniqueness else f"High uniqueness after dedup ({unique:.2%}, raw: {p.uniqueness:.2%})")
+        why.append(f"{unique:.2%} of the values differ" if unique == p.uniqueness else f"{unique:.2%} of the values differ once versions are merged ({p.uniqueness:.2%} of the rows)")
     if p.null_rate <= cfg.null_rate_threshold:
         parts["nulls"] = 1.0
-        why.append("Low null rate")
+        why.append("hardly a null")
     if p.dominant_pattern.value in KEY_PATTERNS and p.pattern_coverage >= KEY_PATTERN_COVERAGE:
         parts["pattern"] = p.pattern_coverage
-        why.append(f"BK-typical pattern ({p.dominant_pattern.value})")
+        why.append(f"values are {p.dominant_pattern.value}")
     if re.search(KEY_HINT, p.column_name, re.I):
         parts["name"] = 1.0
-        why.append(f"Name suggests key ({p.column_name})")
+        why.append(f"{p.column_name} is a name of keys")
     weights = {"uniqueness": cfg.uniqueness_weight, "nulls": cfg.null_rate_weight, "pattern": cfg.pattern_weight, "name": cfg.name_heuristic_weight}
     return BusinessKeyCandidate(table, p.column_name, round(sum(weights[k] * v for k, v in parts.items()), 4), unique, p.null_rate, p.pattern_coverage, tuple(why))
 
@@ -113,7 +114,7 @@ def version_stats(df: DataFrame, key: str) -> DataFrame:
 def versioned(df: DataFrame, key: str, ratio: float = VERSION_RATIO) -> tuple[bool, float]:
     try:
         r = version_stats(df, key).first()
-    except Exception:
+    except AnalysisException:  # a type that can't be grouped
         return False, 0.0
     if r is None or r["avg_versions"] is None or not (r["avg_versions"] >= ratio or r["max_versions"] > 1):
         return False, 0.0

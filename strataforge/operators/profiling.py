@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timezone
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ class ProfileEngine:
                 rows = fq.value_statistics(freq).join(F.broadcast(fq.top_values(freq, cfg.max_top_values)), "ordinal", "left")
                 rows = rows.join(F.broadcast(fq.example_values(freq.where("text"))), "ordinal", "left")
                 by = {r["ordinal"]: r.asDict() for r in rows.collect()}
+        self._limit(part, by, cfg, metrics.row_count)
         numeric = [f.name for f in fields if fq.is_numeric(f.dataType)]
         spread = fq.quantiles(part, numeric, cfg.approx_quantile_error)
         columns = tuple(self._column(i, f, by.get(i), spread.get(f.name)) for i, f in enumerate(fields))
@@ -47,6 +49,16 @@ class ProfileEngine:
             columns = self._verify(df, columns)
         return TableProfile(table_name, full if sampled else count, columns, catalog, schema, sampled, fraction, count if sampled else None)
 
+    def _limit(self, part: DataFrame, by: dict[int, dict], cfg: ProfilingConfig, rows: int) -> None:
+        """Where settings bound the rows that patterns or types are judged on, those counts come from as many rows."""
+        text = [f.name for f in part.schema.fields if fq.is_string(f.dataType)]
+        for limit, counts, base in ((cfg.pattern_sample_rows, "pattern_counts", "pattern_base"), (cfg.type_sample_rows, "type_counts", "type_base")):
+            if limit is None or not text or 0 <= rows <= limit:
+                continue
+            for r in fq.value_statistics(fq.frequencies(part.limit(limit), text)).collect():  # one row per column
+                if r["ordinal"] in by:
+                    by[r["ordinal"]] |= {counts: r[counts], base: r["total_count"] - r["null_count"] if counts == "pattern_counts" else r["filled_count"]}
+
     def _column(self, i: int, f, r: dict | None, spread) -> ColumnProfile:
         kind, numeric = str(f.dataType), fq.is_numeric(f.dataType)
         if r is None or not r["total_count"]:
@@ -55,8 +67,8 @@ class ProfileEngine:
         filled = total - nulls
         pattern, coverage, inferred = "unknown", 0.0, None
         if fq.is_string(f.dataType) and filled:
-            pattern, coverage = dominant_pattern(r["pattern_counts"], filled)
-            got = climb(r["type_counts"], r["filled_count"])
+            pattern, coverage = dominant_pattern(r["pattern_counts"], r.get("pattern_base", filled))
+            got = climb(r["type_counts"], r.get("type_base", r["filled_count"]))
             inferred = InferredType(*got, tuple(r["examples"] or ())) if got else None
         distinct = min(r["distinct_count"], filled)
         return ColumnProfile(
@@ -81,14 +93,15 @@ class ProfileEngine:
     def profile_tables(self, tables: dict[str, DataFrame], metrics: dict[str, TableMetrics] | None = None) -> ProfileResult:
         """Tables in the order given, whatever order their jobs end in."""
         tracker = ProgressTracker("profiling", len(tables), self.callback)
-        done = 0
+        done, lock = 0, Lock()
 
         def one(item):
             nonlocal done
             name, df = item
             out = self.profile_table(df, name, metrics=(metrics or {}).get(name))
-            done += 1
-            tracker.update(done, f"table:{name}", f"Profiled {name}")
+            with lock:  # tables end in several threads
+                done += 1
+                tracker.update(done, f"table:{name}", f"Profiled {name}")
             return out
 
         workers = min(self.config.max_parallel_tables, len(tables))

@@ -85,7 +85,7 @@ def pair_scores(profiles: DataFrame, other: DataFrame | None = None) -> DataFram
     stat = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)
     return j.select(
         F.col("table_name_a").alias("table_a"), F.col("column_name_a").alias("column_a"), F.col("table_name_b").alias("table_b"), F.col("column_name_b").alias("column_b"),
-        F.round(name_similarity_col(F.col("column_name_a"), F.col("column_name_b")), 4).alias("name_similarity"), F.round(stat, 4).alias("stat_similarity"),
+        F.round(name_similarity_col(F.col("column_name_a"), F.col("column_name_b")), 4).alias("name_similarity"), F.round(stat, 4).alias("statistical_similarity"),
     )
 
 

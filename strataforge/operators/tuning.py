@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def plan_row_count(df: DataFrame) -> int | None:
     try:
         n = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
         return int(n.get().toString()) if n.isDefined() else None
-    except Exception:
+    except (AttributeError, Py4JError):  # a session without a JVM, or a plan without statistics
         return None
 
 
@@ -36,7 +38,7 @@ def table_metrics(df: DataFrame) -> TableMetrics:
     if rows is None:
         try:
             rows = df.count()
-        except Exception:
+        except AnalysisException:  # not a table that can be counted; a failed job is an error
             rows = -1
     return TableMetrics(rows, len(df.columns))
 
@@ -95,7 +97,7 @@ class cached:
     def __enter__(self) -> DataFrame:
         try:
             self.held = self.df.persist(StorageLevel.MEMORY_AND_DISK)
-        except Exception:
+        except PySparkException:  # a platform without caches
             self.held = None
         return self.held if self.held is not None else self.df
 
@@ -103,5 +105,5 @@ class cached:
         if self.held is not None:
             try:
                 self.held.unpersist()
-            except Exception:
+            except PySparkException:
                 pass

@@ -6,14 +6,17 @@ string forms are compared.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataforge import queries_design
 from strataforge.config import AnalysisConfig, ProfilingConfig
 from strataforge.functions.names import FK_SUFFIXES, KEY_HINT, name_similarity_col
 from strataforge.functions.patterns import BOOLEAN_WORDS, PATTERNS, ROLES, parses, role_col, typed
@@ -26,6 +29,7 @@ from strataforge.operators import tuning as tn
 from strataforge.operators.profiling import ProfileEngine, profile_frame, verified_keys
 from strataforge.plans import materialize as mz
 from strataforge.plans.pipeline import ForgePipeline
+from strataforge.plans.report import Report
 from strataforge.sources.store import load_results, save_results
 from strataforge.streaming.refresh import fold_batches, stream_profile
 
@@ -396,11 +400,11 @@ def _pair_sql() -> str:
     near = lambda c: f"CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN NULL WHEN greatest(a.{c}, b.{c}) > 0 THEN 1.0 - abs(a.{c} - b.{c}) / greatest(a.{c}, b.{c}) ELSE 1.0 END"
     stat = f"list_avg(list_filter([CAST(1.0 - abs(a.uniqueness - b.uniqueness) AS DOUBLE), 1.0 - abs(a.null_rate - b.null_rate), {near('mean_length')}, {near('max_length')}], lambda z: z IS NOT NULL))"
     return f"""WITH p AS (SELECT * FROM {p} WHERE dominant_pattern NOT IN ('free_text', 'boolean') AND distinct_count >= 5 AND null_rate <= 0.80)
-SELECT a.table_name AS table_a, a.column_name AS column_a, b.table_name AS table_b, b.column_name AS column_b, round({sql_name_similarity('a.column_name', 'b.column_name')}, 4) AS name_similarity, round({stat}, 4) AS stat_similarity
+SELECT a.table_name AS table_a, a.column_name AS column_a, b.table_name AS table_b, b.column_name AS column_b, round({sql_name_similarity('a.column_name', 'b.column_name')}, 4) AS name_similarity, round({stat}, 4) AS statistical_similarity
 FROM p a JOIN p b ON a.table_name < b.table_name AND a.is_numeric = b.is_numeric AND (a.dominant_pattern = b.dominant_pattern OR a.dominant_pattern IN {code} AND b.dominant_pattern IN {code})"""
 
 
-MATCH_SCHEMA = "table_a string, column_a string, table_b string, column_b string, name_similarity double, stat_similarity double, value_overlap double, composite_score double, match_type string"
+MATCH_SCHEMA = "table_a string, column_a string, table_b string, column_b string, name_similarity double, statistical_similarity double, value_overlap double, composite_score double, match_type string"
 
 
 def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,9 +417,9 @@ def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_sql() -> str:
     every = {t: [c for c, _ in fields(t)] for t in SIMILAR}
     return f"""WITH s AS ({_pair_sql()}), o AS ({overlap_sql(every)}), j AS (SELECT s.*, coalesce(n_both / (n_a + n_b - n_both), 0.0) AS v FROM s LEFT JOIN o USING (table_a, column_a, table_b, column_b)),
-t AS (SELECT table_a, column_a, table_b, column_b, name_similarity, stat_similarity, round(v, 4) AS value_overlap, 0.25 * name_similarity + 0.25 * stat_similarity AS cheap, round(0.25 * name_similarity + 0.25 * stat_similarity + 0.5 * v, 3) AS composite_score,
-CASE WHEN name_similarity >= 0.95 THEN 'exact_name' WHEN v >= 0.70 THEN 'value_overlap' WHEN stat_similarity >= 0.85 THEN 'statistical' ELSE 'semantic' END AS match_type FROM j)
-SELECT table_a, column_a, table_b, column_b, name_similarity, stat_similarity, value_overlap, composite_score, match_type FROM t WHERE cheap >= 0.18 AND composite_score >= 0.45"""
+t AS (SELECT table_a, column_a, table_b, column_b, name_similarity, statistical_similarity, round(v, 4) AS value_overlap, 0.25 * name_similarity + 0.25 * statistical_similarity AS cheap, round(0.25 * name_similarity + 0.25 * statistical_similarity + 0.5 * v, 3) AS composite_score,
+CASE WHEN name_similarity >= 0.95 THEN 'exact_name' WHEN v >= 0.70 THEN 'value_overlap' WHEN statistical_similarity >= 0.85 THEN 'statistical' ELSE 'semantic' END AS match_type FROM j)
+SELECT table_a, column_a, table_b, column_b, name_similarity, statistical_similarity, value_overlap, composite_score, match_type FROM t WHERE cheap >= 0.18 AND composite_score >= 0.45"""
 
 
 RELATION_SCHEMA = "parent_table string, parent_column string, child_table string, child_column string, confidence double, cardinality string"
@@ -444,6 +448,24 @@ SELECT parent_table, parent_column, child_table, child_column, CAST(0.7 AS DOUBL
 SELECT parent_table, parent_column, child_table, child_column, round(share, 4), CASE WHEN pu < 0.95 THEN 'N:M' WHEN cu >= 0.95 THEN '1:1' ELSE '1:N' END FROM v"""
 
 
+def similar_keys_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule one alone: references that follow from similar columns of which one is a key."""
+    tables = star(spark, sf_dir, SIMILAR)
+    result = ProfileEngine(spark, ProfilingConfig(approx_distinct=False, auto_tune=False)).profile_tables(tables)
+    matches = rl.similarity_matches(result, tables, AnalysisConfig())
+    keys = {"customer": "c_custkey", "nation": "n_nationkey", "orders": "o_orderkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+    of_match = {frozenset(((m.table_a, m.column_a), (m.table_b, m.column_b))) for m in matches}
+    found = [r for r in rl.relationships(result, keys, tables, matches) if frozenset(((r.parent_table, r.parent_column), (r.child_table, r.child_column))) in of_match]
+    rows = spark.createDataFrame([(r.parent_table, r.parent_column, r.child_table, r.child_column, r.confidence, r.cardinality) for r in found], RELATION_SCHEMA)
+    return rows.withColumn("confidence", F.round("confidence", 3))
+
+
+def similar_keys_sql() -> str:
+    keys = values([("customer", "c_custkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey")])
+    return f"""WITH m AS ({match_sql()}), k AS (SELECT * FROM {keys} AS t(t, c)), f AS (SELECT m.*, EXISTS (SELECT 1 FROM k WHERE t = table_a AND c = column_a) AS ka, EXISTS (SELECT 1 FROM k WHERE t = table_b AND c = column_b) AS kb FROM m)
+SELECT CASE WHEN ka THEN table_a ELSE table_b END AS parent_table, CASE WHEN ka THEN column_a ELSE column_b END AS parent_column, CASE WHEN ka THEN table_b ELSE table_a END AS child_table, CASE WHEN ka THEN column_b ELSE column_a END AS child_column, composite_score AS confidence, '1:N' AS cardinality FROM f WHERE ka <> kb"""
+
+
 # ---- vault --------------------------------------------------------------------------------
 
 VAULT = DataVaultSpec(
@@ -528,12 +550,28 @@ def vault_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dbt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _designed(spark, sf_dir)
-    return spark.createDataFrame([(k, len(v)) for k, v in p.generated_files.items()], "path string, n_chars int")
+    return spark.createDataFrame(list(p.generated_files.items()), "path string, text string")
+
+
+REPORTED = ["nation", "region", "part"]
 
 
 def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _designed(spark, sf_dir)
-    return spark.createDataFrame([(f, len(p.report(f)) > 0) for f in ("text", "html")], "format string, filled boolean")
+    """The text report's lines on tables and columns, and how often its HTML form has each of them."""
+    result = ProfileEngine(spark, ProfilingConfig(approx_distinct=False, auto_tune=False)).profile_tables(star(spark, sf_dir, REPORTED))
+    report = Report(result)
+    lines = [x.strip() for x in report.to_text().split("\n") if re.match(r"  \S|    .* \| ", x)]
+    html = report.to_html()
+    cells = lambda x: escape(x) if " | " not in x else "<tr>" + "".join(f"<td>{escape(c)}</td>" for c in x.split(" | ")) + "</tr>"
+    return spark.createDataFrame([(x, html.count(cells(x))) for x in lines], "line string, in_html int")
+
+
+def report_sql() -> str:
+    share = lambda x: f"format('{{:.2f}}%', 100 * {x})"
+    kinds = "CASE column_name " + " ".join(f"WHEN '{c}' THEN '{TYPE_NAMES[k]}'" for t in REPORTED for c, k in fields(t)) + " END"
+    p = "(" + union_all(f"({profile_sql(t)})" for t in REPORTED) + ")"
+    heads = union_all(f"SELECT '{t}: ' || format('{{:,}}', count(*)) || ' rows, {len(fields(t))} columns' AS line, 1 AS in_html FROM {t}" for t in REPORTED)
+    return f"""{heads} UNION ALL SELECT column_name || ' | ' || {kinds} || ' | ' || {share('null_rate')} || ' | ' || format('{{:,}}', distinct_count) || ' | ' || {share('uniqueness')} || ' | ' || dominant_pattern || ' ' || format('{{:.0f}}%', 100 * pattern_coverage), 1 FROM {p}"""
 
 
 def json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,17 +589,70 @@ JSON_SQL = union_all(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*
 
 
 def wide_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fq.wide_statistics(read(spark, sf_dir, "lineitem"), 50, True, 10).drop("pattern_counts", "type_counts")
+    """All that the approximate path gives, the distinct counts but as positive: their error is approx_distinct_error's."""
+    wide = fq.wide_statistics(read(spark, sf_dir, "lineitem"), 50, True, 10)
+    names = spark.createDataFrame(list(enumerate(c for c, _ in fields("lineitem"))), "ordinal int, column_name string")
+    return wide.join(F.broadcast(names), "ordinal").select(  # a row per column
+        "column_name", "total_count", "null_count", "min_value", "max_value", F.round("mean_length", 2).alias("mean_length"), "max_length", "filled_count", (F.col("distinct_count") > 0).alias("some"),
+        F.aggregate(F.map_values("pattern_counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("pattern_hits"), F.coalesce(F.col("type_counts")["boolean"], F.lit(0)).cast("long").alias("boolean_hits"),
+        F.array_join(F.transform("top", lambda x: F.concat_ws(":", x.value, x.cnt.cast("string"))), "|").alias("top"),
+    )
+
+
+def wide_sql() -> str:
+    parts = []
+    for c, kind in fields("lineitem"):
+        s = f"CAST({sql_column(c, kind)} AS VARCHAR)"
+        text_ = kind == "s"
+        hits = " + ".join(f"count(*) FILTER (regexp_matches({c}, {text(rx)}))" for rx in PATTERNS.values()) if text_ else "0"
+        top = f"(SELECT string_agg(v || ':' || n, '|' ORDER BY n DESC, v) FROM (SELECT {s} AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 10))"
+        parts.append(
+            f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, min({s}) AS min_value, max({s}) AS max_value, {f'round(avg(length({c})), 2)' if text_ else 'CAST(NULL AS DOUBLE)'} AS mean_length, "
+            f"{f'CAST(max(length({c})) AS BIGINT)' if text_ else 'CAST(NULL AS BIGINT)'} AS max_length, CAST({f'count(*) FILTER (trim({c}) <> {text(str())})' if text_ else '0'} AS BIGINT) AS filled_count, true AS some, CAST({hits} AS BIGINT) AS pattern_hits, "
+            f"CAST({f'count(*) FILTER (lower(trim({c})) IN ({_WORDS}))' if text_ else '0'} AS BIGINT) AS boolean_hits, {top} AS top FROM lineitem"
+        )
+    return union_all(parts)
+
+
+HLL_COLUMNS = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"]}
+
+
+def hll_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether approximate distinct counts are within three standard errors (15 %) of the exact ones."""
+    out = None
+    for t, columns in HLL_COLUMNS.items():
+        df = read(spark, sf_dir, t).select(*columns)
+        names = spark.createDataFrame(list(enumerate(columns)), "ordinal int, column_name string")
+        exact = fq.value_statistics(fq.frequencies(df)).select("ordinal", F.col("distinct_count").alias("exact"))
+        part = fq.wide_statistics(df).select("ordinal", "distinct_count").join(exact, "ordinal").join(F.broadcast(names), "ordinal")  # a row per column
+        part = part.select("column_name", F.col("exact").alias("distinct_count"), (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.15 * F.col("exact")).alias("within_error"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+HLL_SQL = union_all(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, true AS within_error FROM {t}" for t, columns in HLL_COLUMNS.items() for c in columns)
 
 
 def bottom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fq.bottom_hash_values(ov.catalogue(star(spark, sf_dir, ["orders", "customer"]), {"orders": ["o_custkey"], "customer": ["c_custkey"]}), 100)
+    """The same hashes in both tables: how many values each sample has, and how many they share (the smaller table's are a subset)."""
+    b = fq.bottom_hash_values(ov.catalogue(star(spark, sf_dir, ["orders", "customer"]), {"orders": ["o_custkey"], "customer": ["c_custkey"]}), 100)
+    each = b.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_distinct"))
+    return each.agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n").alias("n_values"), F.sum("n_distinct").alias("n_distinct"))
+
+
+BOTTOM_SQL = "WITH n AS (SELECT least(100, count(DISTINCT o_custkey)) AS n FROM orders UNION ALL SELECT least(100, count(DISTINCT c_custkey)) FROM customer) SELECT count(*) AS n_columns, CAST(sum(n) AS BIGINT) AS n_values, CAST(sum(n) AS BIGINT) AS n_distinct FROM n"
 
 
 def sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table over the threshold is sampled down to about it."""
-    part, sampled, fraction = tn.auto_sample(read(spark, sf_dir, "lineitem"), threshold=10_000)
-    return part.agg(F.count(F.lit(1)).alias("n_rows")).withColumns({"sampled": F.lit(sampled), "fraction": F.lit(fraction)})
+    """A table over the threshold is sampled down to about it (within five standard deviations), one below is not."""
+    big, small = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "nation")
+    part, sampled, fraction = tn.auto_sample(big, threshold=5_000)
+    whole, not_sampled, none = tn.auto_sample(small, threshold=5_000)
+    rows = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit("lineitem").alias("table_name"), F.lit(sampled).alias("sampled"), F.lit(round(fraction, 9)).alias("fraction"), (F.abs(F.col("n") - 5_000) <= 5 * F.sqrt(F.lit(5_000.0))).alias("about"))
+    return rows.union(whole.agg(F.count(F.lit(1)).alias("n")).select(F.lit("nation"), F.lit(not_sampled), F.lit(none).cast("double"), F.col("n") == small.count()))
+
+
+SAMPLE_SQL = "SELECT 'lineitem' AS table_name, true AS sampled, round(5000 / count(*), 9) AS fraction, true AS about FROM lineitem UNION ALL SELECT 'nation', false, NULL, true"
 
 
 def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,15 +660,18 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strataforge-stream-")
     state = f"{base}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(src).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    stream = spark.readStream.schema(src).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select(*STREAMED)
     fold_batches(stream, f"{state}/state", f"{state}/checkpoint").awaitTermination()
     names = spark.createDataFrame(list(enumerate(stream.columns)), "ordinal int, column_name string")
     return stream_profile(spark, f"{state}/state").join(F.broadcast(names), "ordinal").select("column_name", "total_count", "null_count", "distinct_count", "min_value", "max_value")
 
 
-STREAM_SQL = union_all(f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, min(CAST({c} AS VARCHAR)) AS min_value, max(CAST({c} AS VARCHAR)) AS max_value FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+STREAMED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+STREAM_SQL = union_all(f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, min(CAST({c} AS VARCHAR)) AS min_value, max(CAST({c} AS VARCHAR)) AS max_value FROM orders" for c in STREAMED)
 
 LENGTH_SQL = union_all(f"SELECT '{c}' AS column_name, round(avg(length({c})), 2) AS mean_length, CAST(max(length({c})) AS BIGINT) AS max_length FROM documents" for c in ("text", "lang", "source"))
 
@@ -604,7 +698,8 @@ def _build() -> dict:
         lambda s, d: verified_keys(read(s, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"]),
         union_all(f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, round((count(*) - count({c})) / count(*), 6) AS null_rate, round(least(count(DISTINCT {c}) / count({c}), 1.0), 6) AS uniqueness FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice")),
     )
-    q["approx_statistics_lineitem"] = (wide_query, None)
+    q["approx_statistics_lineitem"] = (wide_query, wide_sql())
+    q["approx_distinct_error"] = (hll_query, HLL_SQL)
     q["length_stats_documents"] = (length_query, LENGTH_SQL)
     for t in ("customer", "orders", "nation", "region", "part"):
         q[f"pattern_coverage_{t}"] = (lambda s, d, t=t: fq.pattern_coverage(read(s, d, t), strings(t)), pattern_sql(t))
@@ -627,23 +722,24 @@ def _build() -> dict:
     q["historization_versions"] = (history_query, HISTORY_SQL)
     q["value_overlap_pairs"] = (overlap_query, overlap_sql())
     q["containment_fk"] = (containment_query, CONTAINMENT_SQL)
-    q["bottom_hash_sample"] = (bottom_query, None)
+    q["bottom_hash_sample"] = (bottom_query, BOTTOM_SQL)
     q["pair_scores"] = (pair_query, _pair_sql())
     q["similarity_matches"] = (lambda s, d: match_query(s, d).withColumn("composite_score", F.round("composite_score", 3)), match_sql())
     q["relationships"] = (relation_query, relation_sql())
+    q["relationships_by_similarity"] = (similar_keys_query, similar_keys_sql())
     q["staging_hash"] = (staging_query, STAGING_SQL)
     q["hub_load"] = (hub_query, HUB_SQL)
     q["link_load"] = (link_query, LINK_SQL)
     q["satellite_load"] = (satellite_query, SATELLITE_SQL)
     q["satellite_history"] = (history_satellite, HISTORY_SATELLITE_SQL)
     q["auto_tune"] = (tune_query, TUNE_SQL)
-    q["auto_sample"] = (sample_query, None)
+    q["auto_sample"] = (sample_query, SAMPLE_SQL)
     q["vault_design"] = (vault_query, None)
     q["dbt_files"] = (dbt_query, None)
-    q["reports"] = (report_query, None)
+    q["reports"] = (report_query, report_sql())
     q["json_round_trip"] = (json_query, JSON_SQL)
     q["stream_profile"] = (stream_query, STREAM_SQL)
-    return q
+    return q | queries_design.QUERIES
 
 
 _ALL = _build()

@@ -118,3 +118,30 @@ def test_top_values_of_many_flat_values_are_exact(spark):
     n = ProfilingConfig().max_top_values
     assert t.column("k").top_values == tuple((f"k{i:05d}", 3) for i in range(n))
     assert t.column("n").top_values == tuple((x, 3) for x in sorted(str(i) for i in range(10_000))[:n])
+
+
+def test_exact_quantiles_against_sorted_lists(spark):
+    import math
+    import random
+
+    rnd = random.Random(2)
+    cols = [[rnd.gauss(0, 10) for _ in range(3000)], [float(rnd.randrange(3)) for _ in range(3000)], [None] * 3000, [rnd.choice([None, 5.0, 1e9, -1.0]) for _ in range(3000)]]
+    df = spark.createDataFrame(list(zip(*cols)), "a double, b double, c double, d double").repartition(5)
+    got = fq.quantiles(df, ["a", "b", "c", "d"], probabilities=(0.0, 0.25, 0.5, 0.75, 0.99, 1.0))
+    for name, values in zip("abcd", cols):
+        x = sorted(v for v in values if v is not None)
+        assert got[name] == (tuple(x[max(0, math.ceil(p * len(x)) - 1)] for p in (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)) if x else None)
+    assert fq.quantiles(df.limit(0), ["a"]) == {"a": None}
+
+
+def test_rows_that_patterns_and_types_are_judged_on(spark):
+    """Settings bound the rows; other numbers are of all rows."""
+    from strataforge.config import ProfilingConfig
+    from strataforge.operators.profiling import ProfileEngine
+
+    df = spark.createDataFrame([(str(i),) for i in range(20)] + [("some words here",)] * 180, "v string").coalesce(1)
+    every = ProfileEngine(spark, ProfilingConfig(auto_tune=False, approx_distinct=False)).profile_table(df, "t").column("v")
+    some = ProfileEngine(spark, ProfilingConfig(auto_tune=False, approx_distinct=False, pattern_sample_rows=20, type_sample_rows=20)).profile_table(df, "t").column("v")
+    assert every.inferred_type is None and every.dominant_pattern.value == "free_text"
+    assert some.inferred_type.spark_target_type == "bigint" and some.inferred_type.confidence == 1.0 and some.dominant_pattern.value == "numeric_code"
+    assert (some.total_count, some.distinct_count, some.null_count) == (every.total_count, every.distinct_count, every.null_count) == (200, 21, 0)

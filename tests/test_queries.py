@@ -11,7 +11,8 @@ from strataforge.queries import ORACLE_SQL, QUERIES
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
 FAST = ["profile_basic_orders", "profile_basic_events", "null_profile", "pattern_coverage_nation", "dominant_pattern_region", "type_inference_orders", "timestamp_format_search", "pre_stage_cast", "quantiles_exact",
-        "top_values_orders", "temporal_roles", "name_similarity_pairs", "fk_name_heuristic", "dedup_uniqueness", "version_stats", "containment_fk", "hub_load", "link_load", "satellite_history", "auto_tune", "stream_profile"]
+        "top_values_orders", "temporal_roles", "name_similarity_pairs", "fk_name_heuristic", "dedup_uniqueness", "version_stats", "containment_fk", "hub_load", "link_load", "satellite_history", "auto_tune", "stream_profile",
+        "vault_rules", "dbt_models", "historization_kinds", "all_formats", "reports", "approx_statistics_lineitem", "approx_distinct_error", "bottom_hash_sample", "relationships_by_similarity"]
 
 
 @pytest.fixture(scope="module")
