@@ -87,6 +87,8 @@ class DbtConfig:
     generate_staging: bool = True
     generate_sources_yml: bool = True
     generate_schema_yml: bool = True
+    #: dbt_project.yml and packages.yml too: project name, schemas, hash settings and the macros' version go there
+    generate_project_yml: bool = False
     output_dir: str = "./dbt_output"
     model_config: dict[str, str] = field(default_factory=lambda: {"materialized": "incremental", "schema": "raw_vault"})
 

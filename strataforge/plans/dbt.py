@@ -67,6 +67,8 @@ class DbtGenerator:
             out["models/staging/sources.yml"] = self.sources_yml()
         if self.cfg.generate_schema_yml:
             out[f"{vault}/schema.yml"] = self.schema_yml()
+        if self.cfg.generate_project_yml:
+            out |= {"dbt_project.yml": self.project_yml(), "packages.yml": f"packages:\n  - package: Datavault-UK/automate_dv\n    version: {literal(self.cfg.automate_dv_version)}\n"}
         self.files = out
         return dict(out)
 
@@ -156,6 +158,14 @@ class DbtGenerator:
         own = {"src_pk": self.parent_key(s), "src_dfk": first, "src_sfk": rest, "src_start_date": start, "src_end_date": "effective_to", "src_eff": start}
         return macro_model(self._config(), "eff_sat", own | self._tail((s.source_table,)))
 
+    def project_yml(self) -> str:
+        """The project that the models belong to: schemas by folder, and what the macros hash with."""
+        c = self.cfg
+        variables = {"hash": c.hash_function, "concat_string": c.hash_concat_separator, "hashdiff_naming": c.hashdiff_naming}
+        lines = [f"name: {literal(c.project_name)}", 'version: "1.0.0"', "config-version: 2", f"profile: {literal(c.project_name)}", 'model-paths: ["models"]', "vars:", *(f"  {k}: {literal(v)}" for k, v in variables.items())]
+        lines += ["models:", f"  {c.project_name}:", "    raw_vault:", f"      +schema: {c.target_schema_raw}", "    business_vault:", f"      +schema: {c.target_schema_business}"]
+        return "\n".join(lines) + "\n"
+
     def sources_yml(self) -> str:
         tables = "".join(f"      - name: {t}\n" for t in self.sources)
         return f"version: 2\n\nsources:\n  - name: {self.cfg.source_name}\n    schema: {self.cfg.target_schema_raw}\n    tables:\n{tables}"

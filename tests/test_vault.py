@@ -131,3 +131,10 @@ def test_pipeline(spark, sample_tables, order_history, tmp_path):
     assert a.historization["history"].scd_type is SCDType.TYPE2 and set(a.business_keys) == {"customers", "orders", "history"}
     q.tables = {"orders": sample_tables["orders"]}
     assert [t.table_name for t in q.run_profiling({"orders"}).tables] == ["orders"]
+
+
+def test_project_files_hold_the_settings():
+    cfg = DbtConfig(project_name="mine", hash_function="SHA", hash_concat_separator="~", automate_dv_version="0.11", target_schema_business="bv", generate_project_yml=True)
+    files = DbtGenerator(DataVaultSpec(), cfg).generate_all()
+    assert all(x in files["dbt_project.yml"] for x in ('name: "mine"', 'hash: "SHA"', 'concat_string: "~"', "+schema: bv")) and '"0.11"' in files["packages.yml"]
+    assert "dbt_project.yml" not in DbtGenerator(DataVaultSpec()).generate_all()
