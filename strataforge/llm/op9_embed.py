@@ -39,6 +39,7 @@ from strataforge.llm.components import connected_components
 THRESHOLD = 0.9
 NO_ID = (1 << 63) - 1
 TILE = 1024
+LIST_ROWS = (512, 4096)
 
 
 def choose_pivots(sample: np.ndarray, count: int, spread: float = 0.8) -> np.ndarray:
@@ -212,8 +213,11 @@ class Index:
 
 
 def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, per_root: float = 4.0, max_pivots: int = 16_384,
-                     prefix: int = 16, posted: int = 4, min_shared: int = 3, spread: float = 0.8, list_rows: int = 2048, exact: bool = False) -> DataFrame:
-    """One row per row of df: id, n_links, component (smallest id reachable), kept (id = component). exact: every link, at a higher cost."""
+                     prefix: int = 16, posted: int = 4, min_shared: int = 3, spread: float = 0.8, list_rows: int | None = None, exact: bool = False) -> DataFrame:
+    """One row per row of df: id, n_links, component (smallest id reachable), kept (id = component). exact: every link, at a higher cost.
+
+    list_rows: rows of a block of a long list; None for four times the mean list, within LIST_ROWS.
+    """
     scratch = Scratch(df.sparkSession)
     vec = F.col(vec_col)
     fine = vec.isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))) & F.exists(vec, lambda v: v != 0)
@@ -248,6 +252,8 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
     # lengths of the lists: one number per pivot
     lengths = {r["p"]: r["c"] for r in merged.select("dim", "v").mapInArrow(count_lists, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()}
+    if list_rows is None:
+        list_rows = int(np.clip(4 * sum(lengths.values()) / max(1, index.size), *LIST_ROWS))
     blocks = np.array([max(1, -(-lengths.get(p, 0) // list_rows)) for p in range(index.size)], dtype=np.int64)
 
     def post(batches):
