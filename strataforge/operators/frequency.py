@@ -5,9 +5,9 @@ combining bounds what is shuffled by the distinct values of each task. Null rate
 distinct counts, minima, lengths, pattern and type counts and top values are then aggregates
 over distinct values, weighted by their counts, so expressions run once per distinct value.
 
-Tables whose row count or width makes the unpivot dear take `wide_statistics` instead: one
-aggregation over the native columns with approximate distinct counts, no unpivot, and a
-shuffle of one row per task. Only their top values are counted by the unpivot, as exactly as others'.
+`wide_statistics` without top values is one aggregation over the native columns with approximate
+distinct counts, no unpivot, and a shuffle of one row per task, for tables whose row count or width makes
+the unpivot dear. Top values are exact at every size, so where they are asked for the frequencies serve for all.
 """
 
 from __future__ import annotations
@@ -96,8 +96,16 @@ def example_values(freq: DataFrame, n: int = 5) -> DataFrame:
 def wide_statistics(df: DataFrame, batch: int = 50, approx: bool = True, top: int = 0) -> DataFrame:
     """The same columns as value_statistics from native-typed aggregates, `batch` columns a pass.
 
-    With top > 0 also `top` as top_values gives it, exact, from a second pass over the frequencies.
+    With top > 0 also `top` as top_values gives it. These are exact, so the frequencies are needed anyway, and
+    all numbers come from their one shuffle: distinct counts are exact then, and no wide pass is made.
     """
+    if top and df.columns:
+        none = F.array().cast("array<struct<value:string,cnt:bigint>>")
+        freq = frequencies(df)
+        best = top_values(freq, top)
+        text = F.col("ordinal").isin(*[i for i, f in enumerate(df.schema.fields) if is_string(f.dataType)])
+        maps = {c: F.when(text, F.col(c)).otherwise(F.create_map().cast("map<string,bigint>")) for c in ("pattern_counts", "type_counts")}
+        return value_statistics(freq).withColumns(maps).join(F.broadcast(best), "ordinal", "left").withColumn("top", F.coalesce("top", none))  # best: one row per column
     out = None
     for at in range(0, len(df.columns), batch):
         part = df.schema.fields[at : at + batch]
@@ -118,10 +126,6 @@ def wide_statistics(df: DataFrame, batch: int = 50, approx: bool = True, top: in
         row = df.agg(*aggs).select("total", F.inline(F.array(*[F.col(f"s{i}") for i in range(len(part))])))
         row = row.select("ordinal", F.col("total").alias("total_count"), *[c for c in row.columns if c not in ("ordinal", "total")])
         out = row if out is None else out.unionByName(row)
-    if top and out is not None:
-        none = F.array().cast("array<struct<value:string,cnt:bigint>>")
-        best = top_values(frequencies(df), top)
-        out = out.join(F.broadcast(best), "ordinal", "left").withColumn("top", F.coalesce("top", none))  # best: one row per column
     return out
 
 

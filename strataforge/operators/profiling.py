@@ -25,7 +25,7 @@ class ProfileEngine:
         self.spark, self.config, self.callback = spark, config or ProfilingConfig(), progress_callback
 
     def profile_table(self, df: DataFrame, table_name: str, catalog: str | None = None, schema: str | None = None, metrics: TableMetrics | None = None) -> TableProfile:
-        """Two actions on an exact table (statistics and quantiles), a third where keys of an approximate one are verified."""
+        """Two actions on a table (statistics and quantiles), a third where keys of a sampled one are verified."""
         metrics = metrics or table_metrics(df)
         cfg = tune_profiling(self.config, metrics)
         part, sampled, fraction = auto_sample(df, cfg.sample_threshold_rows, cfg.sample_fraction, max(metrics.row_count, 0))
@@ -33,7 +33,7 @@ class ProfileEngine:
         if cfg.approx_distinct:
             by = {r["ordinal"]: r.asDict() for r in fq.wide_statistics(part, cfg.column_batch_size, True, cfg.max_top_values).collect()}  # one row per column
             for r in by.values():
-                r["examples"] = sorted(t["value"] for t in r["top"] or () if t["value"].strip(" "))[:5]
+                r["examples"] = sorted(t["value"] for t in r.setdefault("top", None) or () if t["value"].strip(" "))[:5]
         else:
             with cached(fq.frequencies(part)) as freq:
                 rows = fq.value_statistics(freq).join(F.broadcast(fq.top_values(freq, cfg.max_top_values)), "ordinal", "left")
@@ -45,7 +45,7 @@ class ProfileEngine:
         columns = tuple(self._column(i, f, by.get(i), spread.get(f.name)) for i, f in enumerate(fields))
         count = max((c.total_count for c in columns), default=max(metrics.row_count, 0))
         full = metrics.row_count if metrics.row_count >= 0 else count
-        if sampled or cfg.approx_distinct:
+        if sampled:
             columns = self._verify(df, columns)
         return TableProfile(table_name, full if sampled else count, columns, catalog, schema, sampled, fraction, count if sampled else None)
 

@@ -64,12 +64,14 @@ def test_wide_statistics_agree_with_frequencies(spark, customers, orders):
     for df in (customers, orders):
         text = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
         a = {r["ordinal"]: r.asDict() for r in fq.value_statistics(fq.frequencies(df)).collect()}
-        b = {r["ordinal"]: r.asDict() for r in fq.wide_statistics(df, batch=2, approx=False, top=3).collect()}
-        for i in a:
-            assert b[i].pop("top") is not None
-            if i not in text:
-                a[i]["pattern_counts"] = a[i]["type_counts"] = {}
-            assert a[i] == b[i]
+        for top in (0, 3):
+            b = {r["ordinal"]: r.asDict() for r in fq.wide_statistics(df, batch=2, approx=False, top=top).collect()}
+            for i in a:
+                assert not top or b[i].pop("top") is not None
+                if i not in text:
+                    a[i]["pattern_counts"] = a[i]["type_counts"] = {}
+                assert a[i] == b[i]
+        assert ProfileEngine(spark, ProfilingConfig(approx_distinct=True, auto_tune=False, max_top_values=0)).profile_table(df, "t").column_profiles[0].top_values == ()
 
 
 def test_basic_statistics_without_a_shuffle_per_column(spark, orders):
