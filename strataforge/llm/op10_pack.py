@@ -12,7 +12,8 @@
 3. `pack`: every piece gets its rank among the pieces of its length (ranks within hash buckets of
    about BUCKET_ROWS, plus the counts of the buckets before), and the plan turns (length, rank) into a
    sequence and an offset. No bin is built in one task; a length has one bucket per
-   BUCKET_ROWS pieces (more pieces from some 10^9 on).
+   BUCKET_ROWS pieces (more pieces from some 10^9 on). Where rows carry their ids, pieces of `length`
+   tokens, which fill a sequence, stay where they are.
 
 Defined cases: a null text counts as empty, and gives one piece with the end id only; repeated
 rows are packed each; ties are ordered by id and piece, and equal rows by nothing, as they are
@@ -250,10 +251,14 @@ def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH, bucket_rows:
     """pieces (doc_id, row_id, piece, start, length, ids_crc32, maybe ids) with sequence_id and offset.
 
     Ids, where there are any, wait in the written table and are joined to the places at last, as the
-    streamed side: only narrow rows are ranked.
+    streamed side: only narrow rows are ranked. Then pieces that fill a sequence need no place among others: each gets a
+    sequence number of its own beyond the plan's, from its row in the written table, and its ids are not shuffled.
     """
     names = pieces.columns
-    pieces = scratch.keep(pieces, "pieces")
+    with_ids = "ids" in names
+    pieces = scratch.keep(pieces.withColumn("_at", F.monotonically_increasing_id()) if with_ids else pieces, "pieces")
+    full = F.col("length") == length
+    whole, pieces = pieces.where(full), pieces.where(~full) if with_ids else pieces
     counts = np.zeros(length + 1, dtype=np.int64)
     for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `length` rows
         counts[row["length"]] = row["n"]
@@ -280,10 +285,12 @@ def pack(pieces: DataFrame, scratch: Scratch, length: int = LENGTH, bucket_rows:
         )
 
     placed = ranked.mapInArrow(arrow_rows(place), schema)
-    if "ids" not in names:
+    if not with_ids:
         return placed
+    beyond = int((slots["sequence"] + slots["last"] - slots["first"]).max(initial=0))
+    whole = whole.select(*narrow, (F.col("_at") + beyond).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
     places = placed.select(F.col("row_id").alias("_row"), F.col("piece").alias("_piece"), "sequence_id", "offset").hint("shuffle_hash")
-    return pieces.join(places, (F.col("row_id") == F.col("_row")) & (F.col("piece") == F.col("_piece"))).select(*narrow, "sequence_id", "offset", "ids")
+    return whole.union(pieces.join(places, (F.col("row_id") == F.col("_row")) & (F.col("piece") == F.col("_piece"))).select(*narrow, "sequence_id", "offset", "ids"))
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:

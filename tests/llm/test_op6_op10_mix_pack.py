@@ -279,3 +279,28 @@ def test_small_buckets_rank_alike(spark):
     pieces = spark.createDataFrame([(i, i, 0, 0, 1 + i % 7, i) for i in range(500)], "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long")
     got = pk.pack(pieces, Scratch(spark), 16, bucket_rows=9).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 500 and max(r["offset"] + r["length"] for r in got) <= 16
+
+
+def test_full_pieces_are_placed_without_a_shuffle(spark, shuffled_bytes):
+    """Pieces that fill a sequence have one of their own, no place is used twice, and their ids are not shuffled."""
+    rnd = np.random.default_rng(4)
+    lengths = [4096] * 60 + [2000, 2096, 1, 3000, 1500, 4095]
+    ids = [rnd.integers(0, 50_000, n).tolist() for n in lengths]
+    pieces = spark.createDataFrame([(i, i, 0, 0, n, i, x) for i, (n, x) in enumerate(zip(lengths, ids))], "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long, ids array<int>").coalesce(3)
+    before = shuffled_bytes()
+    got = pk.pack(pieces, Scratch(spark), 4096).collect()
+    assert shuffled_bytes() - before < 200_000
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert list(r["ids"]) == ids[r["doc_id"]]
+    assert len(got) == len(lengths) and len(bins) == 60 + 4
+    for places in bins.values():
+        at = 0
+        for off, n in sorted(places):
+            assert off == at
+            at += n
+        assert at <= 4096
+    empty = pk.pack(pieces.limit(0), Scratch(spark), 4096)
+    assert empty.collect() == [] and empty.columns == [*pieces.columns[:-1], "sequence_id", "offset", "ids"]
+    assert [r["offset"] for r in pk.pack(pieces.limit(2), Scratch(spark), 4096).collect()] == [0, 0]
