@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: str | None = None
@@ -175,3 +175,32 @@ def null_safe(a: DataFrame, b: DataFrame, keys: list[str]):
         cond = cond & a[k].eqNullSafe(b[k])
     return cond
 
+
+#: Bits of a Bloom filter for each of its keys, and at most (8 MB): from some 10^7 keys on more rows pass than need to.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
+
+
+def may_be_in(keys: DataFrame, columns: list[str]) -> Callable[..., Column]:
+    """Bloom filter of a table's keys, which is read twice: maybe(*columns) holds for every row with one of the keys, and for few others.
+
+    For joins whose other side is wide: rows that certainly have no partner need not be shuffled. The join
+    still decides, so what passes by chance changes nothing.
+    """
+    n = keys.count()
+    size = min(MOST_FILTER_BITS, max(64, 1 << (FILTER_BITS * n - 1).bit_length())) if n else 64
+    h = F.xxhash64(*columns)
+    at = F.explode(F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)))).alias("at")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toArrow()  # size / 64 rows at most
+    bits = np.zeros(size // 64, dtype=np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+
+    @F.arrow_udf("boolean")
+    def maybe(hashes: pa.Array) -> pa.Array:
+        x = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+        ok = np.ones(len(x), dtype=bool)
+        for shift in (0, 32):
+            p = (x >> np.uint64(shift)) & np.uint64(size - 1)
+            ok &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pa.array(ok)
+
+    return lambda *c: maybe(F.xxhash64(*c))

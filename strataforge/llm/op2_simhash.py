@@ -22,7 +22,8 @@
 Without verification links are exact: the thresholds cover every pair within tau bits, and each
 candidate is compared. With it (`min_similarity`) the fingerprint is wider (WIDE_WORDS words of 64 bits, of
 the set of shingles), so that many partitions of 16 bits take part and few probes find nearly all
-pairs of the similarity asked for; each candidate's shingle sets are then compared exactly.
+pairs of the similarity asked for. A bound from the parities of the sets' hashes excludes candidates that can't be
+that similar; of all others the texts are fetched and the shingle sets compared exactly.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links as any
 other; texts of fewer words than a shingle are hashed whole; repeated rows are one group, of which one
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataforge.llm._common import Scratch, arrow_rows, ship, table
+from strataforge.llm._common import Scratch, arrow_rows, may_be_in, ship, table
 from strataforge.llm.components import connected_components
 
 SEED = 42
@@ -59,7 +60,8 @@ BLOCK_ROWS, HOT_VALUES = 1 << 14, 1 << 16
 #: of the bits, so two of them agree in one of 40 partitions in 95 of 100 cases (measured: README), and
 #: differ in over 20 of 64 bits in one of 10,000.
 WIDE_WORDS, WORD_REACH, MOST = 10, 20, 2
-#: Bits of a shingle set's parity map, for an upper bound on the overlap of two sets.
+#: Bits of a shingle set's parity map, for an upper bound on the overlap of two sets; maps of more shingles have
+#: a bit for each, and are folded to so many where rows carry them.
 PARITY_BITS = 1024
 
 
@@ -122,9 +124,9 @@ def row_key(df: DataFrame, id_col: str) -> list[Column]:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = SEED, n_words: int = 1) -> DataFrame:
-    """id, h1, h2 (row_key), fp: a signed long, and beyond one word of 64 bits all words in `wide` (of different shingles) and words (words_hash)."""
+    """id, h1, h2 (row_key), fp: a signed long, and beyond one word of 64 bits all words in `wide` (of different shingles), words (words_hash) and the map of the shingle set."""
     ship(df.sparkSession)
-    schema = "id long, h1 long, h2 long, fp long" + ", wide binary, words long" * (n_words > 1)
+    schema = "id long, h1 long, h2 long, fp long" + ", wide binary, words long, map binary" * (n_words > 1)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,14 +135,15 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             words = word_list(t.as_py())
             h = shingle_hashes(words, width, seed)
             if n_words > 1:
-                f = majority(np.unique(h), n_words)
+                f = majority(s := np.unique(h), n_words)
                 cols[1].append(f.tobytes())
                 cols[2].append(words_hash(words, seed))
+                cols[3].append(parity_map(s, map_bits(len(s))))
             else:
                 f = majority(h)
             cols[0].append(int(f[0]))
         longs = lambda c: pa.array(np.array(c, dtype=np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], longs(cols[0]), *([pa.array(cols[1], pa.binary()), longs(cols[2])] if n_words > 1 else [])], names=names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], longs(cols[0]), *([pa.array(cols[1], pa.binary()), longs(cols[2]), pa.array(cols[3], pa.binary())] if n_words > 1 else [])], names=names)
 
     return df.select(*row_key(df, id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(arrow_rows(run), schema)
 
@@ -659,10 +662,15 @@ def shingle_set(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
     return np.unique(shingle_hashes(word_list(text), width, seed))
 
 
-def node_texts(nodes: DataFrame, distinct: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of nodes(node long), by the key of the row that stands for each; equal rows repeat it."""
+def node_texts(nodes: DataFrame, distinct: DataFrame, df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(node, text) of nodes(node long), by the key of the row that stands for each; equal rows repeat it.
+
+    Texts of other rows stay where they are, but for the few that pass the filter.
+    """
     keys = distinct.join(nodes.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi").select(F.col("rep").alias("node"), F.col("first.id").alias("k0"), F.col("first.h1").alias("k1"), F.col("first.h2").alias("k2"))
-    rows = df.select(*row_key(df, id_col), F.col(text_col).cast("string").alias("text"))
+    keys = scratch.keep(keys, "keys", narrow=True)
+    maybe = may_be_in(keys, ["k0", "k1", "k2"])
+    rows = df.select(*row_key(df, id_col), F.col(text_col).cast("string").alias("text")).where(maybe("id", "h1", "h2"))
     return rows.join(keys.hint("shuffle_hash"), (F.col("id") == F.col("k0")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("node", "text")  # grows with the corpus: never broadcast
 
 
@@ -690,47 +698,82 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(arrow_rows(sets), "node long, s binary").groupBy("node").agg(F.min("s").alias("s"))
 
 
-def parity_map(s: np.ndarray) -> bytes:
+def map_bits(n: int) -> int:
+    """Bits of the parity map of n shingles: a power of 2, at least n."""
+    return max(PARITY_BITS, 1 << (max(n, 1) - 1).bit_length())
+
+
+def parity_map(s: np.ndarray, bits: int = PARITY_BITS) -> bytes:
     """Size of a set of hashes and the parities of its counts by their low bits."""
-    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def maps_of(sets: DataFrame) -> DataFrame:
-    """(node, sets: parity_map)."""
+def folded(m: bytes, bits: int = PARITY_BITS) -> bytes:
+    """The parity map of fewer bits that the same set has."""
+    return m[:8] + np.bitwise_xor.reduce(np.frombuffer(m, dtype=np.uint8, offset=8).reshape(-1, bits // 8), axis=0).tobytes()
+
+
+def may_be_similar(p: bytes, q: bytes, least: float) -> bool:
+    """False only if the sets of two maps certainly have a lower similarity.
+
+    Each differing parity needs a shingle that only one of them has, and they share no more than the smaller one holds.
+    """
+    bits = 8 * (min(len(p), len(q)) - 8)
+    x, y = (np.frombuffer(folded(m, bits), dtype="<u8") for m in (p, q))
+    n = int(x[0]) + int(y[0])
+    both = min(int(x[0]), int(y[0]), (n - int(np.bitwise_count(x[1:] ^ y[1:]).sum(dtype=np.int64))) / 2)
+    return both >= least * (n - both)
+
+
+def close_pairs(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) that the maps of distinct(rep, map) leave open, so that texts of others need not be fetched."""
+    one, two = distinct.select("rep", "map").toDF("u", "mu"), distinct.select("rep", "map").toDF("v", "mv")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [may_be_similar(x.as_py(), y.as_py(), least) for x, y in zip(batch.column(2), batch.column(3))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(one.hint("shuffle_hash"), "u").join(two.hint("shuffle_hash"), "v").select("u", "v", "mu", "mv").mapInArrow(arrow_rows(compare), "u long, v long")
+
+
+def maps_of(distinct: DataFrame) -> DataFrame:
+    """distinct(rep, wide, map) -> (rep, wide, sets: parity_map)."""
 
     def maps(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([parity_map(np.frombuffer(s.as_py(), dtype=np.uint64)) for s in batch.column(1)], pa.binary())], names=["node", "sets"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([folded(m.as_py()) for m in batch.column(2)], pa.binary())], names=["rep", "wide", "sets"])
 
-    return sets.mapInArrow(arrow_rows(maps), "node long, sets binary")
+    return distinct.select("rep", "wide", "map").mapInArrow(arrow_rows(maps), "rep long, wide binary, sets binary")
 
 
 def verified_links(distinct: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, least: float, scratch: Scratch, tau: int, parts: int | None, reach: int | None, most: int | None = None) -> DataFrame:
     """Links (u, v) of a Jaccard similarity of at least `least` that connect what all such links among the candidates do.
 
-    A round verifies a thinned set of candidates. The texts of candidates left out come back in
-    the next one, where pairs within a component, and pairs that a bound on the similarity
-    excludes, are no candidates any more and the degree is higher. The last round leaves out none.
+    A round verifies a thinned set of candidates, less those that the bound of their maps excludes: only texts that
+    may have a partner are fetched and compared. The candidates left out come back in the next round, where pairs within a
+    component, and pairs that the bound excludes, are no candidates any more and the degree is higher. The last round leaves out none.
     """
     part, links, sets, degree, k = distinct, None, None, CANDIDATE_DEGREE, 0
     while True:
         found = scratch.keep(candidate_links(part, tau, degree=degree, parts=parts, least=None if k == 0 else least, column="wide", reach=reach, most=most), f"candidates{k}")
-        pairs = scratch.keep(found.where("not cut").select("u", "v").distinct(), f"pairs{k}", narrow=True)
-        if sets is None:
-            # whatever is left out has a link in the first round too, so these nodes are all that any round compares
-            nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            sets = scratch.keep(sets_of(node_texts(nodes, distinct, df, id_col, text_col), width), "sets")
-        good = scratch.keep(similar_links(pairs, sets, least), f"links{k}")
-        links = good if links is None else links.union(good)
+        pairs = found.where("not cut").select("u", "v").distinct()
+        pairs = scratch.keep(pairs if k else close_pairs(pairs, distinct, least), f"pairs{k}", narrow=True)
         cut = scratch.keep(found.where("cut").select(F.col("u").alias("node")).distinct(), f"cut{k}", narrow=True)
+        if sets is None:
+            # later rounds have only nodes of links left out in this one
+            nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(cut).distinct()
+            sets = scratch.keep(sets_of(node_texts(nodes, distinct, df, id_col, text_col, scratch), width), "sets")
+            scratch.drop("keys")
+        if links is None or not pairs.isEmpty():  # else the sets would be shuffled for nothing
+            good = scratch.keep(similar_links(pairs, sets, least), f"links{k}")
+            links = good if links is None else links.union(good)
         scratch.drop(f"candidates{k}", f"pairs{k}")
         if cut.isEmpty():
             scratch.drop("sets", f"part{k - 1}")
             return links
         labels = connected_components(links, scratch).select(F.col("node").alias("member"), "component")
         if k == 0:
-            maps = maps_of(sets.join(cut.hint("shuffle_hash"), "node", "left_semi"))
-            part = distinct.join(maps.hint("shuffle_hash"), F.col("rep") == F.col("node")).drop("node")
+            part = maps_of(distinct.join(cut.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi"))
         else:
             part = part.join(cut.hint("shuffle_hash"), F.col("rep") == F.col("node"), "left_semi").drop("label")
         part = part.join(labels.hint("shuffle_hash"), F.col("rep") == F.col("member"), "left")
@@ -752,7 +795,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     keys = ["fp", "words"] if wide else ["fp"]
     first = F.min(F.struct("id", "h1", "h2")).alias("first")
     # written with its numbers, so that they stay what they are
-    distinct = scratch.keep(fps.groupBy(*keys).agg(first, *[F.min("wide").alias("wide")] * wide).withColumn("rep", F.monotonically_increasing_id()), "distinct", narrow=True)
+    distinct = scratch.keep(fps.groupBy(*keys).agg(first, *[F.min(c).alias(c) for c in ("wide", "map") if wide]).withColumn("rep", F.monotonically_increasing_id()), "distinct", narrow=True)
     if wide:
         links = verified_links(distinct, df, id_col, text_col, width, min_similarity, scratch, 4 * n_words - 1, 4, WORD_REACH, MOST)
     else:
@@ -779,12 +822,16 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     id_, h1, h2 = row_key(df, id_col)
     plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], id_.alias("_id"), h1.alias("_h1"), h2.alias("_h2"))
     same = lambda a, b, c: (F.col(a) == F.col("_k0")) & (F.col(b) == F.col("_k1")) & (F.col(c) == F.col("_k2"))
-    out = plain.join(kept.hint("shuffle_hash"), same("_id", "_h1", "_h2"), "left_semi")  # grows with the corpus: never broadcast
-    repeats = not fps.join(kept.hint("shuffle_hash"), same("id", "h1", "h2"), "left_semi").groupBy("id", "h1", "h2").count().where("count > 1").isEmpty()
-    scratch.drop("fps", "groups")
+    # only rows that go, or repeat, must be told from others by a shuffle; the rest stays where it is
+    doubtful = fps.groupBy("id", "h1", "h2").count().join(kept.hint("shuffle_hash"), same("id", "h1", "h2"), "left").where("_k0 is null or count > 1")
+    doubtful = scratch.keep(doubtful.select("id", "h1", "h2", F.col("_k0").isNotNull().alias("stays")), "doubtful", narrow=True)
+    maybe = may_be_in(doubtful, ["id", "h1", "h2"])("_id", "_h1", "_h2")
+    repeats = not doubtful.where("stays").isEmpty()
+    scratch.drop("fps", "groups", "doubtful")
+    told = plain.where(maybe).join(kept.hint("shuffle_hash"), same("_id", "_h1", "_h2"), "left_semi")  # grows with the corpus: never broadcast
     if repeats:  # rows equal in every column
-        out = out.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_h1", "_h2").orderBy("_h1"))).where("_n = 1")
-    return out.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
+        told = told.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_h1", "_h2").orderBy("_h1"))).where("_n = 1").drop("_n")
+    return plain.where(~maybe).union(told).select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

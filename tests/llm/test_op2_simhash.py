@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.llm import op2_simhash as sim
-from strataforge.llm._common import Scratch
+from strataforge.llm._common import Scratch, may_be_in
 from strataforge.llm.components import connected_components, forest
 
 
@@ -281,3 +281,48 @@ def test_different_texts_of_equal_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(sim, "fingerprints", lambda *a, f=sim.fingerprints, **kw: f(*a, **kw).withColumns({"fp": F.lit(5).cast("long"), "wide": F.lit(bytes(8 * sim.WIDE_WORDS))}))
     kept = sim.drop_near_duplicates(df, width=5, min_similarity=0.8)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_texts_without_partners_are_not_shuffled(spark, shuffled_bytes, tmp_path):
+    """Of 200 texts 3 have near or exact copies; all others stay where they are."""
+    rnd = random.Random(12)
+    texts = [" ".join(f"{rnd.randrange(10**9):x}" for _ in range(3000)) for _ in range(200)]
+    rows = list(enumerate(texts)) + [(300, texts[5]), (301, texts[6].replace(texts[6].split()[40], "x")), (7, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = shuffled_bytes()
+    df.write.parquet(path := str(tmp_path / "docs"))
+    own, before = shuffled_bytes() - before, shuffled_bytes()
+    kept = sim.drop_near_duplicates(spark.read.parquet(path), width=5, min_similarity=0.8).collect()
+    assert shuffled_bytes() - before < 0.5 * own
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(enumerate(texts))
+
+
+def test_maps_of_any_size_never_exclude_similar_sets():
+    rnd = random.Random(8)
+    sets = [sim.shingle_set(None, 5), sim.shingle_set("a b", 5)]
+    for n in (20, 900, 1100, 5000):
+        words = [f"{n}w{rnd.randrange(10**8)}" for _ in range(n)]
+        for share in (0, 0.005, 0.02, 0.03, 1):
+            sets.append(sim.shingle_set(" ".join(w if rnd.random() >= share else f"x{rnd.randrange(10**8)}" for w in words), 5))
+        sets.append(sim.shingle_set(" ".join(words[: int(n * 0.82)]), 5))
+    maps = [sim.parity_map(s, sim.map_bits(len(s))) for s in sets]
+    assert [sim.folded(m) for m in maps] == list(map(sim.parity_map, sets)) and len(maps[-1]) > len(maps[0])
+    n_true = n_open = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            true = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+            ok = sim.may_be_similar(maps[i], maps[j], 0.8)
+            assert ok or not true
+            n_true, n_open = n_true + true, n_open + ok
+    assert 10 < n_true <= n_open < 2 * n_true
+
+
+def test_filter_passes_every_key(spark, monkeypatch):
+    keys = spark.range(0, 6000, 3).select(F.col("id").alias("a"), (-F.col("id")).alias("b"))
+    rows = spark.range(6000).select("id", (-F.col("id")).alias("minus"))
+    passed = [r["id"] for r in rows.where(may_be_in(keys, ["a", "b"])("id", "minus")).collect()]
+    assert set(range(0, 6000, 3)) <= set(passed) and len(passed) < 2200
+    assert rows.where(may_be_in(keys.limit(0), ["a", "b"])("id", "minus")).count() == 0
+    monkeypatch.setattr("strataforge.llm._common.MOST_FILTER_BITS", 4096)  # too few bits: more rows pass, none is lost
+    assert set(range(0, 6000, 3)) <= {r["id"] for r in rows.where(may_be_in(keys, ["a", "b"])("id", "minus")).collect()}
