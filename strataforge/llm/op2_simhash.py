@@ -450,9 +450,10 @@ def thin_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int | None)
     return keep
 
 
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 250_000
 GROUP_PAIRS = 20_000_000
-HELD_PAIRS = 2_000_000
+#: The same where a degree is given, and links are thinned as they come: each that is held takes some 100 bytes.
+THINNED_PAIRS, HELD_PAIRS = 100_000, 250_000
 
 
 class Known:
@@ -488,8 +489,8 @@ def thinned_groups(group: np.ndarray, kind: np.ndarray, rep: np.ndarray, fp: np.
 
     Rows that SEEK meet all rows of the group, those that STAY meet probes, and probes do not meet;
     rows of one block meet only where the group has no other (block: None if no group has two). Of a
-    group of over GROUP_PAIRS such pairs a forest comes from breadth-first search instead if no degree
-    is given and all its rows seek; else it is compared in steps and thinned as they come. Links are
+    group of over GROUP_PAIRS such pairs (THINNED_PAIRS with a degree) a forest comes from breadth-first search instead if
+    no degree is given and all its rows seek; else it is compared in steps and thinned as they come. Links are
     thinned within their group, so the result depends on a group's rows and their order alone, not on
     what else is in the task.
     """
@@ -501,7 +502,7 @@ def thinned_groups(group: np.ndarray, kind: np.ndarray, rep: np.ndarray, fp: np.
     probes = ends - np.add.reduceat((kind == PROBE).astype(np.int64), starts)  # where a group's probes start
     follows = np.where(kind == SEEK, np.arange(n) + 1, np.where(kind == STAY, probes[own], ends[own]))
     meets = ends[own] - follows
-    wide = np.add.reduceat(meets, starts) > GROUP_PAIRS
+    wide = np.add.reduceat(meets, starts) > (GROUP_PAIRS if degree is None else min(GROUP_PAIRS, THINNED_PAIRS))
     two = np.zeros(len(starts), dtype=bool) if block is None else np.maximum.reduceat(block, starts) != np.minimum.reduceat(block, starts)
     if two.any():
         apart = two[own]

@@ -326,3 +326,16 @@ def test_filter_passes_every_key(spark, monkeypatch):
     assert rows.where(may_be_in(keys.limit(0), ["a", "b"])("id", "minus")).count() == 0
     monkeypatch.setattr("strataforge.llm._common.MOST_FILTER_BITS", 4096)  # too few bits: more rows pass, none is lost
     assert set(range(0, 6000, 3)) <= {r["id"] for r in rows.where(may_be_in(keys, ["a", "b"])("id", "minus")).collect()}
+
+
+def test_memory_of_a_group_of_near_copies():
+    """All 4.5 million pairs of 3000 rows link: they are thinned as they come."""
+    import tracemalloc
+
+    f = np.uint64(12345) ^ np.unique(np.random.default_rng(3).choice(np.array([1 << a | 1 << b | 1 << c for a in range(30) for b in range(a) for c in range(b)], dtype=np.uint64), 3000, replace=False))
+    tracemalloc.start()
+    u, v, cut = sim.thinned_groups(np.zeros(len(f), dtype=np.int64), np.full(len(f), sim.SEEK), np.arange(len(f)), f, 20, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(forest(zip(u.tolist(), v.tolist())).values())) == 1 and set(cut.tolist()) == set(range(len(f)))
+    assert peak < 100 << 20
